@@ -7,6 +7,7 @@ tables in full.
 
 from __future__ import annotations
 
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -225,3 +226,103 @@ QUERIES = {
     "ap_pivot": ap_pivot,
     "class_weights": class_weights,
 }
+
+
+# ---------------------------------------------------------------- inference
+
+def _kind_design(spark, sf_dir, drop_first=True):
+    c = clean(spark, sf_dir)
+    d, names = E.one_hot(c.select("unit", "y", "kind", "x2"), "kind", drop_first=drop_first,
+                         keep_source=True)
+    return d, names
+
+
+def _coef_cols(t):
+    return t.select("term", rnd("coef", 5).alias("coef"), rnd("std_err", 5).alias("std_err"),
+                    rnd("z", 5).alias("z"), rnd("ci_low", 5).alias("ci_low"),
+                    rnd("ci_high", 5).alias("ci_high"))
+
+
+def logit_saturated(spark, sf_dir):
+    from panelcast.operators.inference import coefficient_table
+    d, names = _kind_design(spark, sf_dir)
+    return _coef_cols(coefficient_table(d, "y", names))
+
+
+def logit_cluster(spark, sf_dir):
+    from panelcast.operators.inference import coefficient_table
+    d, names = _kind_design(spark, sf_dir)
+    return _coef_cols(coefficient_table(d, "y", names, cluster="unit"))
+
+
+def probit_saturated(spark, sf_dir):
+    from panelcast.operators.inference import fit_binary_glm
+    d, names = _kind_design(spark, sf_dir, drop_first=False)
+    fit = fit_binary_glm(d, "y", names, fit_intercept=False, link="probit")
+    pred = fit.model.transform(VectorAssembler(inputCols=names, outputCol="_x").transform(d))
+    out = pred.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), rnd(F.avg("_p")).alias("fitted_p"))
+    fit.data.unpersist()
+    return out
+
+
+def coef_prefix_filter(spark, sf_dir):
+    """Formula logit y ~ C(kind) * hi, then drop every term starting with 'kind_'."""
+    from panelcast.operators.inference import coefficient_table
+    d, names = _kind_design(spark, sf_dir)
+    d = d.withColumn("hi", (F.col("x2") > 0.05).cast("int"))
+    inter = [C.interaction(n, "hi") for n in names]
+    d = d.select("*", *inter)
+    feats = [*names, "hi", *[f"{n}:hi" for n in names]]
+    t = coefficient_table(d, "y", feats)
+    return _coef_cols(C.without_prefix(t, "term", "kind_"))
+
+
+# ---------------------------------------------------------------- significance
+
+ANOVA_PARAMS = ("kind", "unit", "x3", "x2")
+
+
+def anova_f(spark, sf_dir):
+    from panelcast.operators.anova import oneway_anova
+    a = oneway_anova(fixture_panel(spark, sf_dir), ANOVA_PARAMS, "x1", with_p=False)
+    return a.select("param", "k", "n", rnd("f_stat", 4).alias("f_stat"))
+
+
+def level_means(spark, sf_dir):
+    from panelcast.operators.anova import level_means as lm
+    m = lm(fixture_panel(spark, sf_dir), ANOVA_PARAMS, "x1")
+    return m.select("param", "level", "n", rnd("mean_metric").alias("mean_metric"), "rank")
+
+
+# ---------------------------------------------------------------- cascades
+
+def _first(spark, sf_dir):
+    from panelcast.operators.cascade import first_events
+    return first_events(clean(spark, sf_dir), "unit", "item", "period", "y")
+
+
+def first_event(spark, sf_dir):
+    return _first(spark, sf_dir)
+
+
+def cascade_lists(spark, sf_dir):
+    from panelcast.operators.cascade import cascade_lists as cl
+    return cl(_first(spark, sf_dir), "unit", "item")
+
+
+def cascade_sample(spark, sf_dir):
+    from panelcast.operators.cascade import sampled_events
+    return sampled_events(_first(spark, sf_dir), "item").select("item", "unit", "first_period")
+
+
+QUERIES.update({
+    "logit_saturated": logit_saturated,
+    "logit_cluster": logit_cluster,
+    "probit_saturated": probit_saturated,
+    "coef_prefix_filter": coef_prefix_filter,
+    "anova_f": anova_f,
+    "level_means": level_means,
+    "first_event": first_event,
+    "cascade_lists": cascade_lists,
+    "cascade_sample": cascade_sample,
+})

@@ -256,3 +256,94 @@ SQL["holdout_counts"] = SQL["holdout_rows"].replace(
     "SELECT r.row_key, r.y, CASE WHEN r.rk <= k.k_test THEN 'test' ELSE 'train' END AS role\nFROM r JOIN k ON r.y = k.y",
     "SELECT CASE WHEN r.rk <= k.k_test THEN 'test' ELSE 'train' END AS role, r.y, count(*) AS n\n"
     "FROM r JOIN k ON r.y = k.y GROUP BY ALL")
+
+
+def R5(expr: str) -> str:
+    return R(expr, 5)
+
+
+_Z = "1.959963984540054"
+
+
+def _coef_select(src: str) -> str:
+    return (f"SELECT term, {R5('coef')} AS coef, {R5('se')} AS std_err, {R5('coef / se')} AS z, "
+            f"{R5(f'coef - {_Z} * se')} AS ci_low, {R5(f'coef + {_Z} * se')} AS ci_high FROM {src}")
+
+
+_CELLS = f"""{BASE},
+g AS (SELECT kind, count(*) AS n, avg(y) AS p FROM clean GROUP BY kind),
+b AS (SELECT * FROM g WHERE kind = (SELECT min(kind) FROM g))"""
+
+SQL["logit_saturated"] = f"""{_CELLS},
+t AS (SELECT 'const' AS term, ln(b.p / (1 - b.p)) AS coef, sqrt(1 / (b.n * b.p * (1 - b.p))) AS se FROM b
+      UNION ALL
+      SELECT 'kind_' || g.kind, ln(g.p / (1 - g.p)) - ln(b.p / (1 - b.p)),
+             sqrt(1 / (g.n * g.p * (1 - g.p)) + 1 / (b.n * b.p * (1 - b.p)))
+      FROM g, b WHERE g.kind <> b.kind)
+{_coef_select("t")}"""
+
+SQL["logit_cluster"] = f"""{_CELLS},
+s AS (SELECT c.unit, c.kind, sum(c.y - g.p) AS s FROM clean c JOIN g ON c.kind = g.kind GROUP BY c.unit, c.kind),
+cnt AS (SELECT count(DISTINCT unit) AS gg, count(*) AS nn, (SELECT count(*) FROM g) AS kk FROM clean),
+cf AS (SELECT gg / (gg - 1.0) * (nn - 1.0) / (nn - kk) AS c FROM cnt),
+d AS (SELECT kind, n * p * (1 - p) AS d FROM g),
+mkk AS (SELECT kind, sum(s * s) AS m FROM s GROUP BY kind),
+mkb AS (SELECT s1.kind, sum(s1.s * s2.s) AS m FROM s s1 JOIN s s2
+        ON s1.unit = s2.unit AND s2.kind = (SELECT kind FROM b) GROUP BY s1.kind),
+db AS (SELECT d.d AS db, mkk.m AS mbb FROM d JOIN mkk ON d.kind = mkk.kind WHERE d.kind = (SELECT kind FROM b)),
+t AS (SELECT 'const' AS term, ln(b.p / (1 - b.p)) AS coef, sqrt(cf.c * db.mbb / (db.db * db.db)) AS se
+      FROM b, cf, db
+      UNION ALL
+      SELECT 'kind_' || g.kind, ln(g.p / (1 - g.p)) - ln(b.p / (1 - b.p)),
+             sqrt(cf.c * (mkk.m / (d.d * d.d) + db.mbb / (db.db * db.db) - 2 * coalesce(mkb.m, 0) / (d.d * db.db)))
+      FROM g JOIN d ON g.kind = d.kind JOIN mkk ON g.kind = mkk.kind
+           LEFT JOIN mkb ON g.kind = mkb.kind, b, cf, db
+      WHERE g.kind <> b.kind)
+{_coef_select("t")}"""
+
+SQL["probit_saturated"] = f"""{BASE}
+SELECT kind, count(*) AS n, {R("avg(y)")} AS fitted_p FROM clean GROUP BY kind"""
+
+SQL["coef_prefix_filter"] = f"""{BASE},
+h AS (SELECT kind, CAST(x2 > 0.05 AS INT) AS hi, count(*) AS n, avg(y) AS p FROM clean GROUP BY ALL),
+b0 AS (SELECT * FROM h WHERE hi = 0 AND kind = (SELECT min(kind) FROM h)),
+b1 AS (SELECT * FROM h WHERE hi = 1 AND kind = (SELECT min(kind) FROM h)),
+t AS (SELECT 'const' AS term, ln(b0.p / (1 - b0.p)) AS coef, sqrt(1 / (b0.n * b0.p * (1 - b0.p))) AS se FROM b0
+      UNION ALL
+      SELECT 'hi', ln(b1.p / (1 - b1.p)) - ln(b0.p / (1 - b0.p)),
+             sqrt(1 / (b0.n * b0.p * (1 - b0.p)) + 1 / (b1.n * b1.p * (1 - b1.p))) FROM b0, b1)
+{_coef_select("t")}"""
+
+_ANOVA_LONG = f"""WITH panel AS ({PANEL_SQL}),
+l AS (SELECT 'kind' AS param, CAST(kind AS VARCHAR) AS level, x1 AS metric FROM panel
+      UNION ALL SELECT 'unit', CAST(unit AS VARCHAR), x1 FROM panel
+      UNION ALL SELECT 'x3', CAST(x3 AS VARCHAR), x1 FROM panel
+      UNION ALL SELECT 'x2', CAST(x2 AS VARCHAR), x1 FROM panel),
+st AS (SELECT param, level, count(*) AS n, avg(metric) AS mean, var_pop(metric) * count(*) AS m2
+       FROM l WHERE level IS NOT NULL AND metric IS NOT NULL GROUP BY param, level)"""
+
+SQL["anova_f"] = f"""{_ANOVA_LONG},
+st2 AS (SELECT *, sum(n) OVER (PARTITION BY param) AS nn,
+               sum(n * mean) OVER (PARTITION BY param) / sum(n) OVER (PARTITION BY param) AS grand FROM st)
+SELECT param, CAST(count(*) AS INT) AS k, CAST(max(nn) AS BIGINT) AS n,
+       {R("CASE WHEN count(*) >= 2 THEN (sum(n * pow(mean - grand, 2)) / (count(*) - 1)) / (sum(m2) / (max(nn) - count(*))) ELSE 'NaN'::DOUBLE END", 4)} AS f_stat
+FROM st2 GROUP BY param"""
+
+SQL["level_means"] = f"""{_ANOVA_LONG}
+SELECT param, level, n, {R("mean")} AS mean_metric,
+       CAST(row_number() OVER (PARTITION BY param ORDER BY mean DESC, level) AS INT) AS rank
+FROM st"""
+
+_FE = f"""{BASE},
+fe AS (SELECT unit, item, min(period) AS first_period FROM clean WHERE y = 1 GROUP BY unit, item)"""
+
+SQL["first_event"] = f"{_FE} SELECT * FROM fe"
+
+SQL["cascade_lists"] = f"""{_FE}
+SELECT item, count(*) AS n_nodes,
+       string_agg(CAST(first_period AS VARCHAR) || ':' || CAST(unit AS VARCHAR), ',' ORDER BY first_period, unit) AS events
+FROM fe GROUP BY item"""
+
+SQL["cascade_sample"] = f"""{_FE},
+smp AS (SELECT item FROM (SELECT DISTINCT item FROM fe) ORDER BY md5(concat_ws('|', item, '1333')) LIMIT 10)
+SELECT item, unit, first_period FROM fe WHERE item IN (SELECT item FROM smp)"""
