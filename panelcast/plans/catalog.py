@@ -326,3 +326,61 @@ QUERIES.update({
     "cascade_lists": cascade_lists,
     "cascade_sample": cascade_sample,
 })
+
+
+# ---------------------------------------------------------------- model workflows (rows-only checks)
+
+MODEL_FEATURES = [*FEATURES, "elapsed"]
+
+
+def _model_panel(spark, sf_dir):
+    return C.add_elapsed(clean(spark, sf_dir), "period").drop("min_period", "max_period", "mid_period")
+
+
+def forecast_logit(spark, sf_dir):
+    """W3, h=5: default logit (train only) and tuned logit (2 de-duplicated grid candidates)."""
+    from panelcast.plans.workflows import forecast
+    return forecast(_model_panel(spark, sf_dir), MODEL_FEATURES, horizons=(5,),
+                    models=("original", "logit"), budget=2)
+
+
+def forecast_rf(spark, sf_dir):
+    """W3, h=10: random forest (100 trees, depth 10) per fold."""
+    from panelcast.plans.workflows import forecast
+    return forecast(_model_panel(spark, sf_dir), MODEL_FEATURES, horizons=(10,), models=("rf_d10",))
+
+
+def forecast_gbt(spark, sf_dir):
+    """W3, h=10: boosted trees (20 rounds, depth 6) per fold."""
+    from panelcast.plans.workflows import forecast
+    return forecast(_model_panel(spark, sf_dir), MODEL_FEATURES, horizons=(10,), models=("gbt_r20",))
+
+
+def item_out_logit(spark, sf_dir):
+    """Default logit per held-out item."""
+    from panelcast.plans.workflows import leave_one_item_out
+    return leave_one_item_out(_model_panel(spark, sf_dir), MODEL_FEATURES, models=("original",))
+
+
+def holdout_models(spark, sf_dir):
+    """Logistic, random forest and boosted trees on the stratified 80/20 split."""
+    from panelcast.plans.workflows import holdout_benchmark
+    return holdout_benchmark(_model_panel(spark, sf_dir), MODEL_FEATURES,
+                             models=("original", "rf_d10", "gbt_r20"))
+
+
+def param_ftest(spark, sf_dir):
+    """8 seeded logistic trials, 3-fold AP, F test per parameter."""
+    from panelcast.plans.workflows import significance
+    ft, _, _ = significance(_model_panel(spark, sf_dir), MODEL_FEATURES, family="logistic", n_trials=8)
+    return ft
+
+
+QUERIES.update({
+    "forecast_logit": forecast_logit,
+    "forecast_rf": forecast_rf,
+    "forecast_gbt": forecast_gbt,
+    "item_out_logit": item_out_logit,
+    "holdout_models": holdout_models,
+    "param_ftest": param_ftest,
+})

@@ -18,6 +18,7 @@ def build_session(master: str | None = None, app: str = "panelcast",
     b = (SparkSession.builder.appName(app)
          .config("spark.ui.enabled", "false")
          .config("spark.ui.showConsoleProgress", "false")
+         .config("spark.driver.memory", os.environ.get("PANELCAST_DRIVER_MEMORY", "8g"))
          .config("spark.sql.adaptive.enabled", "true")
          .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
