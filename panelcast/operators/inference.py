@@ -18,7 +18,6 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark import StorageLevel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import DataFrame
@@ -26,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from panelcast.functions.stats import Z_975, norm_sf2
+from panelcast.session import spread
 
 TABLE_SCHEMA = StructType([
     StructField("term", StringType()), StructField("coef", DoubleType()),
@@ -69,12 +69,15 @@ def _row_weights(link: str, y, p, eta):
 
 def fit_binary_glm(df: DataFrame, label: str, features: list[str], fit_intercept: bool = True,
                    link: str = "logit", cluster: str | None = None, tol: float = 1e-12,
-                   max_iter: int = 100) -> GlmFit:
-    """M1 (logit), M4 (no constant), M5 (probit), M2 (cluster-robust when ``cluster``)."""
-    keep = [label, *features] + ([cluster] if cluster else [])
-    base = df.select(*keep).withColumn(label, F.col(label).cast("double"))
-    data = VectorAssembler(inputCols=list(features), outputCol="_x").transform(base)
-    data = data.persist(StorageLevel.MEMORY_AND_DISK)
+                   max_iter: int = 100, keep: tuple[str, ...] = ()) -> GlmFit:
+    """M1 (logit), M4 (no constant), M5 (probit), M2 (cluster-robust when ``cluster``).
+
+    ``keep`` names extra columns carried in ``GlmFit.data`` (e.g. a group key
+    for fitted-value summaries).
+    """
+    cols = list(dict.fromkeys([label, *features, *([cluster] if cluster else []), *keep]))
+    base = df.select(*cols).withColumn(label, F.col(label).cast("double"))
+    data = spread(VectorAssembler(inputCols=list(features), outputCol="_x").transform(base))
     glm = GeneralizedLinearRegression(family="binomial", link=link, fitIntercept=fit_intercept,
                                       regParam=0.0, tol=tol, maxIter=max_iter, featuresCol="_x",
                                       labelCol=label, predictionCol="_p", linkPredictionCol="_eta")

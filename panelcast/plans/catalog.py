@@ -7,11 +7,11 @@ tables in full.
 
 from __future__ import annotations
 
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelcast.functions.columns import rnd
+from panelcast.session import cut_lineage
 from panelcast.operators import clean as C
 from panelcast.operators import encode as E
 from panelcast.operators import folds as FO
@@ -258,9 +258,10 @@ def logit_cluster(spark, sf_dir):
 def probit_saturated(spark, sf_dir):
     from panelcast.operators.inference import fit_binary_glm
     d, names = _kind_design(spark, sf_dir, drop_first=False)
-    fit = fit_binary_glm(d, "y", names, fit_intercept=False, link="probit")
-    pred = fit.model.transform(VectorAssembler(inputCols=names, outputCol="_x").transform(d))
-    out = pred.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), rnd(F.avg("_p")).alias("fitted_p"))
+    fit = fit_binary_glm(d, "y", names, fit_intercept=False, link="probit", keep=("kind",))
+    pred = fit.model.transform(fit.data)
+    out = cut_lineage(pred.groupBy("kind").agg(F.count(F.lit(1)).alias("n"),
+                                               rnd(F.avg("_p")).alias("fitted_p")))
     fit.data.unpersist()
     return out
 

@@ -50,3 +50,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint dir (survives executor loss)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Persist a frame that an iterative job (optimiser, search) will re-read.
+
+    Small inputs (one parquet row group) arrive as one partition, which would
+    run every optimiser pass in one task; it is then spread to the default
+    parallelism.  Large inputs already have more partitions than cores and
+    are left as they are (no extra shuffle).
+    """
+    from pyspark import StorageLevel
+    want = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < want:
+        df = df.repartition(want)
+    return df.persist(StorageLevel.MEMORY_AND_DISK)

@@ -1,0 +1,5 @@
+"""Streaming: intentionally empty.
+
+The reference works on static panel files only (no watermark, window,
+state or late data), so no Structured Streaming operator is provided.
+"""
