@@ -86,11 +86,12 @@ def expanding_folds(df: DataFrame, period: str, horizons=(1, 5, 10),
     For horizon h and origin T in [mid, max - h]: train = period <= T,
     validation = T + h, test = T + h + 1 (periods T+1 .. T+h-1 unused).
     mid = min + (max - min) // 2.  Folds whose test period has no rows are
-    dropped (A2).  One row per (horizon, train_end); the table is bounded
-    by periods x horizons.
+    dropped (A2).  Bounds and presence both come from one per-period
+    aggregate (one pass); the fold table is bounded by periods x horizons.
     """
-    present = df.select(F.col(period).alias("test_period")).distinct()
-    b = df.agg(F.min(period).alias("_lo"), F.max(period).alias("_hi"))
+    per = df.groupBy(period).agg(F.count(F.lit(1)).alias("_n"))
+    present = per.select(F.col(period).alias("test_period"))
+    b = per.agg(F.min(period).alias("_lo"), F.max(period).alias("_hi"))
     b = b.withColumn("_mid", F.col("_lo") + F.floor((F.col("_hi") - F.col("_lo")) / 2).cast("int"))
     hs = F.array(*[F.lit(int(h)) for h in horizons])
     f = b.select("_lo", "_mid", "_hi", F.explode(hs).alias("horizon"))

@@ -42,13 +42,19 @@ def hash_rank(df: DataFrame, strata: list[str], order_hex: Column | str,
     that its leading ``digits`` characters form a bucket that is monotone in
     the full order.  Equal keys get distinct ranks in arbitrary order, as
     with row_number; with a digest of a unique key there are no ties.
+
+    The rows are shuffled once, by (strata, bucket): the in-bucket rank and
+    the bucket sizes both come from that exchange, and the offsets join back
+    on the same keys, so the large side is not shuffled again.
     """
     oh = F.col(order_hex) if isinstance(order_hex, str) else order_hex
     d = df.withColumn("_pc_key", oh).withColumn(
         _B, F.conv(F.substring("_pc_key", 1, digits), 16, 10).cast("long"))
-    offs = _bucket_offsets(d, strata, {"n": F.count(F.lit(1))}, descending=False)
     w = Window.partitionBy(*strata, _B).orderBy("_pc_key")
     ranked = d.withColumn("_pc_in", F.row_number().over(w))
+    sizes = ranked.groupBy(*strata, _B).agg(F.max("_pc_in").alias("_pc_n"))
+    wo = Window.partitionBy(*strata).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
+    offs = sizes.select(*strata, _B, F.coalesce(F.sum("_pc_n").over(wo), F.lit(0)).alias("_off_n"))
     return (ranked.join(offs, [*strata, _B])
             .withColumn(rank_col, (F.col("_off_n") + F.col("_pc_in")).cast("long"))
             .drop(_B, "_pc_in", "_off_n", "_pc_key"))
