@@ -68,3 +68,23 @@ def ingest_to_parquet(df: DataFrame, out: str, partition_by: list[str] | None =
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(out)
+
+
+def load_study(spark: SparkSession, study, base_dir: str, schema=None) -> DataFrame:
+    """Read one study's panel file with its declared format.
+
+    ``schema`` (DDL or StructType) is required for Stata and CSV input; the
+    whitespace format takes names from the study and doubles for values.
+    Only the study's columns are selected, and the sentinel rule is applied.
+    """
+    from panelcast.operators.clean import drop_sentinel
+    path = f"{base_dir.rstrip('/')}/{study.path}"
+    if study.fmt == "whitespace":
+        df = read_whitespace(spark, path, [(c, "double") for c in study.columns])
+    elif study.fmt == "csv":
+        df = read_csv(spark, path, schema)
+    else:
+        df = read_stata(spark, path, schema, glob=study.path.rsplit("/", 1)[-1])
+    if study.sentinel:
+        df = drop_sentinel(df, *study.sentinel)
+    return df

@@ -40,3 +40,26 @@ def test_stata_ingest(spark, tmp_path):
                   "extra": ["a", "b", "c"]}).to_stata(d / "panel.dta", write_index=False)
     df = R.read_stata(spark, str(d), "state int, year int, adopt double")
     assert sorted(tuple(r) for r in df.collect()) == [(1, 1990, 0.0), (2, 1991, 1.0), (3, 1992, 0.0)]
+
+
+def test_load_study_whitespace_with_sentinel(spark, tmp_path):
+    from panelcast.plans.studies import STUDIES
+    (tmp_path / "data").mkdir()
+    (tmp_path / "data" / "berry_berry1990.txt").write_text(
+        "1 86 0 1.0 1 0 0 2.0 0 0.5 3\n2 86 1 1.0 9 0 0 2.0 0 0.5 3\n")
+    df = R.load_study(spark, STUDIES["berry_berry"], str(tmp_path))
+    assert df.count() == 1 and df.first().party == 1.0
+
+
+def test_prune_space_and_inference_table(spark):
+    from panelcast.plans.workflows import inference_table, prune_space
+    ft = spark.createDataFrame([("a", 0.01), ("b", 0.5)], "param string, p_value double")
+    lm = spark.createDataFrame([("a", "3", 1), ("a", "1", 2), ("a", "2", 3), ("b", "x", 1), ("b", "y", 2)],
+                               "param string, level string, rank int")
+    out = prune_space(ft, lm, {"a": (1, 2, 3), "b": ["x", "y"], "c": [True]})
+    assert out == {"a": [3, 1], "b": ["x"], "c": [True]}
+    rows = [("s1", 0.0, 0), ("s1", 1.0, 1), ("s2", 0.5, 1), ("s2", 0.2, 0), ("s3", 0.9, 1), ("s3", 0.1, 0),
+            ("s1", 0.3, 1), ("s2", 0.7, 0), ("s3", 0.4, 0)]
+    df = spark.createDataFrame(rows, "state string, x double, y int")
+    t = inference_table(df, "y", ["x"], one_hot=("state",), drop_prefixes=("state_",))
+    assert [r.term for r in t.collect()] == ["const", "x"]
