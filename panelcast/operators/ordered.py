@@ -22,6 +22,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelcast.session import ensure_checkpoint_dir
+
 _B = "_pc_bucket"
 
 
@@ -85,7 +87,14 @@ def desc_running_sums(df: DataFrame, groups: list[str], score: str, values: list
 
     ``df`` must already hold one row per (groups, score) (aggregate first).
     Adds ``cum_<v>`` = sum of v over rows of the group with score >= this score.
+
+    The aggregated input is read twice (quantile splits, then the sums), so it
+    is written once with a reliable checkpoint: the raw rows behind it are
+    scanned once and a lost executor does not replay the upstream plan.
     """
+    if n_buckets > 1:
+        ensure_checkpoint_dir(df.sparkSession)
+        df = df.checkpoint(eager=True)
     d = score_buckets(df, score, n_buckets)
     offs = _bucket_offsets(d, groups, {v: F.sum(v) for v in values}, descending=True)
     w = (Window.partitionBy(*groups, _B).orderBy(F.col(score).desc())
