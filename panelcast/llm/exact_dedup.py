@@ -30,7 +30,9 @@ def frequent(rows: DataFrame, track: int, winners: int) -> DataFrame:
     """(_digest, keep_id, group_size) of verified frequent digests: at most `winners` rows."""
     parts = (rows.groupBy(F.pmod(F.spark_partition_id(), F.lit(64)).alias("_part"))
              .agg(F.expr(f"approx_top_k_accumulate(_digest, {track})").alias("_sketch")))
-    merged = parts.agg(F.expr(f"approx_top_k_combine(_sketch, {track})").alias("_sketch"))
+    # keyed, so that empty partitions send no empty sketch
+    merged = (parts.groupBy(F.pmod("_part", F.lit(1)).alias("_all"))
+              .agg(F.expr(f"approx_top_k_combine(_sketch, {track})").alias("_sketch")))
     candidates = merged.select(F.explode(F.expr(f"approx_top_k_estimate(_sketch, {winners})")).alias("_top"))
     candidates = (candidates.filter("_top.count > 1").select(F.col("_top.item").alias("_digest")))
     counted = (rows.join(F.broadcast(candidates), "_digest", "left_semi")
