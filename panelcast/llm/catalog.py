@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from panelcast.llm import exact_dedup, mixing, url_filter
+from panelcast.llm import exact_dedup, minhash_forest, mixing, url_filter
 
 QUERIES = {
+    "op1_minhash_forest": minhash_forest.op1_minhash_forest,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op7_mix": mixing.op7_mix,
     "op8_url_filter": url_filter.op8_url_filter,
 }
 
 SQL = {
+    "op1_minhash_forest": minhash_forest.SQL,
     "op2_exact_dedup": exact_dedup.SQL,
     "op7_mix": mixing.SQL,
     "op8_url_filter": url_filter.SQL,
