@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from panelcast.llm import exact_dedup, minhash_forest, mixing, url_filter
+from panelcast.llm import exact_dedup, language_id, minhash_forest, mixing, url_filter
 
 QUERIES = {
     "op1_minhash_forest": minhash_forest.op1_minhash_forest,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op3_language_id": language_id.op3_language_id,
     "op7_mix": mixing.op7_mix,
     "op8_url_filter": url_filter.op8_url_filter,
 }

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A run of ASCII white space / a word, as Java and RE2 patterns.
@@ -30,3 +32,24 @@ def rows_in_slices(batches, step: int = 512) -> Iterator:
     for batch in batches:
         for at in range(0, batch.num_rows, step):
             yield batch.slice(at, step)
+
+
+def smallest_per_class(rows: DataFrame, by: str, order: str, limit: int, salts: int = 64) -> DataFrame:
+    """The `limit` rows of smallest `order` of each class, in two levels so that no class meets in one task.
+
+    Spark keeps only `limit` rows a task before each shuffle (row_number with a limit).
+    """
+    salt = F.pmod(F.xxhash64(order), F.lit(salts))
+    first = Window.partitionBy(by, salt).orderBy(order)
+    last = Window.partitionBy(by).orderBy(order)
+    rows = rows.withColumn("_k", F.row_number().over(first)).filter(F.col("_k") <= limit).drop("_k")
+    return rows.withColumn("_k", F.row_number().over(last)).filter(F.col("_k") <= limit).drop("_k")
+
+
+def ship(spark: SparkSession, model):
+    """Broadcast of a fitted model; `received` gives it back inside a task."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(model))
+
+
+def received(shipped):
+    return pickle.loads(shipped.value)
