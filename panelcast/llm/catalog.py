@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from panelcast.llm import exact_dedup, language_id, minhash_forest, mixing, url_filter
+from panelcast.llm import exact_dedup, language_id, minhash_forest, mixing, quality, toxicity, url_filter
 
 QUERIES = {
     "op1_minhash_forest": minhash_forest.op1_minhash_forest,
@@ -10,6 +10,8 @@ QUERIES = {
     "op3_language_id": language_id.op3_language_id,
     "op7_mix": mixing.op7_mix,
     "op8_url_filter": url_filter.op8_url_filter,
+    "op9_toxicity": toxicity.op9_toxicity,
+    "op10_quality": quality.op10_quality,
 }
 
 SQL = {
