@@ -11,10 +11,10 @@
    linear. The orders are range partitioned, so a dense region spans as many tasks as it needs.
 3. Candidates are confirmed on the full shingle sets, which are computed again for candidate
    documents only.
-4. Two rounds: a few trees with the direct neighbour join the large groups; components are
-   formed; then all trees with a longer reach, but only pairs of different components. Links
-   inside a component cannot change the result, so the second round is short where the data
-   are dense, and looks hard at whatever is not linked yet.
+4. Rounds: two trees with the direct neighbour join the large groups; components are formed;
+   then more trees with a longer reach, but only pairs of different components. Links
+   inside a component cannot change the result, so later rounds are short where the data
+   are dense, and look hard at whatever is not linked yet.
 
 Two documents of similarity 0.75 share the first 4 labels of at least one of 32 trees with
 probability 1 - 5e-6; more similar ones still more surely.
@@ -34,7 +34,8 @@ from panelcast.session import cut_lineage
 
 WIDTH, TREES, LABELS = 5, 32, 4
 SIGNATURE = TREES * LABELS
-FIRST_TREES, FIRST_REACH, REACH = 8, 1, 8
+#: Trees and reach of each round.
+ROUNDS = ((2, 1), (8, 1), (TREES, 8))
 #: A class or set with more than 1 / HEAVY of all rows is joined by broadcast: HEAVY rows at most.
 HEAVY = 2048
 FILTER_BITS = 1 << 23
@@ -218,10 +219,9 @@ def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) ->
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).filter("_id IS NOT NULL")
     rows = rows.withColumn("_spot", _spot("_id"))
     sets = rows.mapInArrow(_sets_of(bits), "_id long, _s binary")
-    sets = cut_lineage(sets.join(ends.distinct(), "_id", "left_semi"))
     both = (pairs.join(sets.select(F.col("_id").alias("a"), F.col("_s").alias("_x")), "a")
             .join(sets.select(F.col("_id").alias("b"), F.col("_s").alias("_y")), "b"))
-    return cut_lineage(both.select("a", "b", "_x", "_y").mapInArrow(_confirm, "a long, b long").distinct())
+    return both.select("a", "b", "_x", "_y").mapInArrow(_confirm, "a long, b long").distinct()
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -239,15 +239,16 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                                        F.count(F.lit(1)).alias("_size"))
     classes = cut_lineage(classes.select("_set", "_size", F.col("_r._id").alias("_rep"), F.col("_r._n").alias("_n"),
                                          F.col("_r._sig").alias("_sig")))
-    alone = classes.withColumn("_comp", F.col("_rep"))
-    links = confirmed(cut_lineage(candidates(alone, FIRST_TREES, FIRST_REACH)), docs, id_col, text_col)
-    found = cut_lineage(components(links))
-
-    joined = (classes.join(found, classes["_rep"] == found["node"], "left")
-              .withColumn("_comp", F.coalesce("component", "_rep")).drop("node", "component"))
-    more = confirmed(cut_lineage(candidates(joined, TREES, REACH)), docs, id_col, text_col)
-    stars = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    found = components(stars.unionByName(more))
+    found = None
+    for trees, reach in ROUNDS:
+        if found is None:
+            joined, stars = classes.withColumn("_comp", F.col("_rep")), None
+        else:
+            joined = (classes.join(found, classes["_rep"] == found["node"], "left")
+                      .withColumn("_comp", F.coalesce("component", "_rep")).drop("node", "component"))
+            stars = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        links = confirmed(cut_lineage(candidates(joined, trees, reach)), docs, id_col, text_col)
+        found = cut_lineage(components(links if stars is None else stars.unionByName(links)))
 
     verdict = (classes.select("_set", "_size", "_rep").join(found, F.col("_rep") == F.col("node"), "left")
                .select("_set", "_size", F.coalesce("component", "_rep").alias("component_id")))
