@@ -34,7 +34,7 @@ def rows_in_slices(batches, step: int = 512) -> Iterator:
             yield batch.slice(at, step)
 
 
-def smallest_per_class(rows: DataFrame, by: str, order: str, limit: int, salts: int = 64) -> DataFrame:
+def smallest_per_class(rows: DataFrame, by: str, order: str, limit: int, salts: int = 16) -> DataFrame:
     """The `limit` rows of smallest `order` of each class, in two levels so that no class meets in one task.
 
     Spark keeps only `limit` rows a task before each shuffle (row_number with a limit).
