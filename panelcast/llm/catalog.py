@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from panelcast.llm import byte_bpe, exact_dedup, html_text, language_id, minhash_forest, mixing, quality, toxicity, url_filter
+from panelcast.llm import (ann, byte_bpe, exact_dedup, html_text, language_id, minhash_forest, mixing, quality, toxicity,
+                           url_filter)
 
 QUERIES = {
     "op1_minhash_forest": minhash_forest.op1_minhash_forest,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_language_id": language_id.op3_language_id,
     "op4_html_text": html_text.op4_html_text,
+    "op5_ann": ann.op5_ann,
     "op6_byte_bpe": byte_bpe.op6_byte_bpe,
     "op7_mix": mixing.op7_mix,
     "op8_url_filter": url_filter.op8_url_filter,

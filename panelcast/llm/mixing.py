@@ -157,8 +157,12 @@ def repeat_documents(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFram
     # repeated ids: the largest count holds, so that a row is not multiplied by its twins
     times = times.filter("_mix_n > 0").groupBy("_mix_id").agg(F.max("_mix_n").alias("_mix_n"))
     joined = docs.join(times.hint("shuffle_hash"), docs[id_col].eqNullSafe(times["_mix_id"]))
-    copies = joined.withColumn("_mix_k", F.explode(F.sequence(F.lit(1), F.col("_mix_n"))))
-    return copies.select(*[docs[c] for c in docs.columns])
+    nth = "_mix_nth"
+    while nth in docs.columns:
+        nth += "_"
+    copies = joined.select(*[docs[c] for c in docs.columns],
+                           F.explode(F.sequence(F.lit(1), times["_mix_n"])).alias(nth))
+    return copies.drop(nth)
 
 
 def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
