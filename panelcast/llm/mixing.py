@@ -55,7 +55,8 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, times: int = 3) -> DataF
     left = F.sum("source_size").over(everyone) - F.coalesce(F.sum(limit).over(early), F.lit(0))
     per = per.withColumn("_level", left / F.sum("_w").over(late))
     per = per.withColumn("_stop", limit <= F.col("_w") * F.col("_level"))
-    level = F.min(F.when(~F.col("_stop"), F.col("_level"))).over(everyone)
+    # past the first source that does not stop the levels only fall: its own is the largest
+    level = F.max(F.when(~F.col("_stop"), F.col("_level"))).over(everyone)
     target = F.when(F.col("_stop"), limit.cast("double")).otherwise(F.col("_w") * level)
     return per.select("_source", "_src", "source_size", target.alias("target"))
 
@@ -186,7 +187,7 @@ l AS (
 t AS (
   SELECT source, source_size,
          CASE WHEN 3 * source_size <= w * lev THEN (3 * source_size)::DOUBLE
-              ELSE w * min(CASE WHEN 3 * source_size > w * lev THEN lev END) OVER () END AS target
+              ELSE w * max(CASE WHEN 3 * source_size > w * lev THEN lev END) OVER () END AS target
   FROM l),
 p AS (
   SELECT d.doc_id, d.size, t.source_size, t.target,
