@@ -13,15 +13,19 @@ from pyspark.sql import functions as F
 from panelcast.session import cut_lineage
 
 
-def _state(edges: DataFrame) -> tuple:
+def _kept(edges: DataFrame, rows: int | None = None) -> tuple[DataFrame, tuple]:
+    """Checkpointed edges in as many partitions as `rows` links need, with their count and hash."""
+    if rows is not None:
+        edges = edges.coalesce(max(1, -(-rows // 100_000)))
+    edges = cut_lineage(edges)
     row = edges.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("h")).first()
-    return row["n"], row["h"]
+    return edges, (row["n"], row["h"])
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     low = both.groupBy("u").agg(F.min("v").alias("_m")).select("u", F.least("u", "_m").alias("_m"))
-    return both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("_m").alias("v")).distinct()
+    return both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("_m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -39,11 +43,9 @@ def components(links: DataFrame) -> DataFrame:
     """
     edges = (links.filter("a IS NOT NULL AND b IS NOT NULL AND a <> b")
              .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
-    edges = cut_lineage(edges.distinct())
-    state = _state(edges)
+    edges, state = _kept(edges.distinct())
     while True:
-        edges = cut_lineage(_small_star(_large_star(edges)))
-        now = _state(edges)
+        edges, now = _kept(_small_star(_large_star(edges)), state[0])
         if now == state:
             break
         state = now
