@@ -11,6 +11,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from panelcast.functions.stats import f_sf
 
@@ -38,7 +39,7 @@ def level_means(df: DataFrame, params, metric: str) -> DataFrame:
                      F.row_number().over(w).alias("rank"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _f_pvalue(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
     return pd.Series([f_sf(a, b, c) for a, b, c in zip(f, d1, d2)], dtype="float64")
 
@@ -54,13 +55,19 @@ def oneway_anova(df: DataFrame, params, metric: str, with_p: bool = True) -> Dat
         F.sum(F.col("n") * F.pow(F.col("mean") - F.col("_grand"), 2)).alias("ssb"),
         F.sum("m2").alias("ssw"))
     k, n = F.col("k"), F.col("n")
-    fstat = F.when(k >= 2, (F.col("ssb") / (k - 1)) / (F.col("ssw") / (n - k))) \
-             .otherwise(F.lit(float("nan")))
+    between, within = F.col("ssb"), F.col("ssw")
+    # one row per level leaves no degree of freedom; without spread inside levels F is infinite
+    fstat = (F.when((k < 2) | (n <= k) | ((within <= 0) & (between <= 0)), F.lit(float("nan")))
+             .when(within <= 0, F.lit(float("inf")))
+             .otherwise((between / (k - 1)) / F.try_divide(within, n - k)))
     out = g.select("param", k.cast("int").alias("k"), n.cast("long").alias("n"),
                    fstat.alias("f_stat"))
     if with_p:
-        out = out.withColumn("p_value", _f_pvalue(F.col("f_stat"), (F.col("k") - 1).cast("double"),
-                                                  (F.col("n") - F.col("k")).cast("double")))
+        f = F.col("f_stat")
+        tail = _f_pvalue(f, (F.col("k") - 1).cast("double"), (F.col("n") - F.col("k")).cast("double"))
+        # an infinite F leaves no tail; Arrow turns NaN into null, so it is put back
+        out = out.withColumn("p_value", F.when(f == float("inf"), F.lit(0.0))
+                             .when(F.isnan(f), F.lit(float("nan"))).otherwise(tail))
     return out
 
 

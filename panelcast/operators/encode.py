@@ -79,15 +79,37 @@ def class_weight_column(df: DataFrame, label: str, scheme, out: str = "w") -> Da
     """M8: per-row weight for a class-weight scheme.
 
     None -> 1; 'balanced' -> n / (2 * n_c) from a per-class aggregate;
-    a number w -> positives weigh w, negatives 1 (``{0: 1, 1: w}``).
+    {0: a, 1: b} -> the class's weight, 1 where it has none; a number w -> {1: w}.
     """
     if scheme is None:
         return df.withColumn(out, F.lit(1.0))
     if scheme == "balanced":
-        w_all = Window.partitionBy()
-        cc = df.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
-        w = cc.select(label, (F.sum("_nc").over(w_all)
-                              / (F.count(F.lit(1)).over(w_all) * F.col("_nc"))).alias(out))
+        w = class_weight_table(df, label, (scheme,)).select(label, F.col("weight").alias(out))
         # One row per class: the broadcast side is bounded by the label domain.
         return df.join(F.broadcast(w), label)
-    return df.withColumn(out, F.when(F.col(label) == 1, F.lit(float(scheme))).otherwise(F.lit(1.0)))
+    if isinstance(scheme, tuple):
+        scheme = dict(scheme)
+    if not isinstance(scheme, dict):
+        scheme = {1: scheme}
+    weight = F.lit(1.0)
+    for level, v in scheme.items():
+        weight = F.when(F.col(label) == level, F.lit(float(v))).otherwise(weight)
+    return df.withColumn(out, weight)
+
+
+def class_weight_table(df: DataFrame, label: str, schemes) -> DataFrame:
+    """(scheme, label, weight, n, total_weight) of every scheme from one aggregate per class."""
+    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    every = Window.partitionBy()
+    counts = counts.withColumn("_all", F.sum("n").over(every)).withColumn("_k", F.count(F.lit(1)).over(every))
+    rows = []
+    for s in schemes:
+        if s is None:
+            name, weight = "none", F.lit(1.0)
+        elif s == "balanced":
+            name, weight = s, F.col("_all") / (F.col("_k") * F.col("n"))
+        else:
+            name, weight = str(s), F.when(F.col(label) == 1, F.lit(float(s))).otherwise(F.lit(1.0))
+        rows.append(F.struct(F.lit(name).alias("scheme"), weight.alias("weight")))
+    return (counts.select(label, "n", F.inline(F.array(*rows)))
+            .select("scheme", label, "weight", "n", (F.col("weight") * F.col("n")).alias("total_weight")))

@@ -1,15 +1,17 @@
 """Binary-response inference: logit / probit coefficient tables.
 
 The fit is MLlib's GeneralizedLinearRegression (IRLS, one distributed
-pass per iteration).  Plain standard errors come from its summary; the
-cluster-robust sandwich is assembled from aggregates:
+pass per iteration).  Standard errors are assembled from matrix sums: each
+task adds up x w x' over its rows, and the sums meet by matrix cell.
 
-  bread  B = (X' W X)^-1      one aggregate with k(k+1)/2 sums over rows
-  meat   M = sum_g s_g s_g'   s_g = per-cluster score sums (groupBy cluster),
-                               then k(k+1)/2 sums over the cluster table
-  V = G/(G-1) * (n-1)/(n-k) * B M B
+  bread  B = (X' W X)^-1      W: the observed information (for the logit link
+                               it equals the expected one)
+  meat   M = sum_g s_g s_g'   s_g = per-cluster score sums (groupBy cluster)
+  V = B, or G/(G-1) * (n-1)/(n-k) * B M B with clusters
 
-Only k x k matrices (k = number of terms) reach the driver.
+Constant and collinear columns cannot be estimated: the later one of a
+dependent set is dropped and reported with null estimates.  Only k x k
+matrices (k = number of terms) reach the driver.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import DataFrame
@@ -42,29 +45,55 @@ class GlmFit:
     table: DataFrame
     terms: list[str]
     data: DataFrame  # assembled input (label, features vector, ...)
+    base: DataFrame  # what it persists: unpersist when done
 
 
-def _sym_sums(cols, weight) -> list:
-    k = len(cols)
-    return [F.sum(weight * cols[i] * cols[j]).alias(f"_s{i}_{j}") for i in range(k) for j in range(i, k)]
-
+def gram(df: DataFrame, cols: list[str], weight: str | None = None) -> np.ndarray:
+    """sum of w x x' over the rows, for the columns x.
 
-def _sym_matrix(row, k) -> np.ndarray:
-    m = np.zeros((k, k))
-    for i in range(k):
-        for j in range(i, k):
-            v = row[f"_s{i}_{j}"] or 0.0
-            m[i, j] = m[j, i] = v
-    return m
+    One k x k partial sum per task (numpy on Arrow batches), then a grouped sum per cell:
+    the plan does not grow with the columns.
+    """
+    k = len(cols)
+    at_i, at_j = np.triu_indices(k)
+
+    def partial(batches):
+        total = np.zeros((k, k))
+        for pdf in batches:
+            x = pdf.iloc[:, :k].to_numpy(dtype=float)
+            w = pdf.iloc[:, k].to_numpy(dtype=float)
+            total += (x * w[:, None]).T @ x
+        yield pd.DataFrame({"i": at_i.astype("int32"), "j": at_j.astype("int32"), "v": total[at_i, at_j]})
+    w = F.col(weight) if weight else F.lit(1.0)
+    rows = df.select(*[F.col(f"`{c}`").cast("double").alias(f"_g{i}") for i, c in enumerate(cols)],
+                     w.cast("double").alias("_gw"))
+    out = np.zeros((k, k))
+    for r in rows.mapInPandas(partial, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).collect():
+        out[r["i"], r["j"]] = out[r["j"], r["i"]] = r["v"]
+    return out
+
+
+def independent(m: np.ndarray, tol: float = 1e-9) -> list[int]:
+    """Indices of the columns that do not depend on earlier ones, from their gram matrix."""
+    kept: list[int] = []
+    for j in range(len(m)):
+        left = m[j, j]
+        if kept:
+            b = m[np.ix_(kept, [j])]
+            left -= float((b.T @ np.linalg.solve(m[np.ix_(kept, kept)], b)).item())
+        if m[j, j] > 0 and left > tol * m[j, j]:
+            kept.append(j)
+    return kept
 
 
 def _row_weights(link: str, y, p, eta):
-    """(W, u): Fisher weight and score factor of each row for the given link."""
+    """(W, u): observed-information weight and score factor of each row for the given link."""
     if link == "logit":
         return p * (1 - p), (y - p)
     phi = F.exp(-eta * eta / 2) / math.sqrt(2 * math.pi)
-    v = p * (1 - p)
-    return phi * phi / v, (y - p) * phi / v
+    # of a row's own outcome: lambda = q phi / P(outcome), q = 2y - 1
+    lam = F.when(y == 1, phi / p).otherwise(-phi / (1 - p))
+    return lam * (lam + eta), lam
 
 
 def fit_binary_glm(df: DataFrame, label: str, features: list[str], fit_intercept: bool = True,
@@ -76,45 +105,44 @@ def fit_binary_glm(df: DataFrame, label: str, features: list[str], fit_intercept
     for fitted-value summaries).
     """
     cols = list(dict.fromkeys([label, *features, *([cluster] if cluster else []), *keep]))
-    base = df.select(*cols).withColumn(label, F.col(label).cast("double"))
-    data = spread(VectorAssembler(inputCols=list(features), outputCol="_x").transform(base))
+    base = df.select(*[F.col(f"`{c}`") for c in cols]).withColumn(label, F.col(label).cast("double"))
+    base = spread(base.withColumn(CONST, F.lit(1.0)) if fit_intercept else base)
+    every = ([CONST] if fit_intercept else []) + list(features)
+    terms = [every[i] for i in independent(gram(base, every))]
+    used = [t for t in terms if t != CONST or not fit_intercept]
+    data = VectorAssembler(inputCols=used, outputCol="_x").transform(base)
     glm = GeneralizedLinearRegression(family="binomial", link=link, fitIntercept=fit_intercept,
                                       regParam=0.0, tol=tol, maxIter=max_iter, featuresCol="_x",
                                       labelCol=label, predictionCol="_p", linkPredictionCol="_eta")
-    model = glm.fit(data)
-    terms = ([CONST] if fit_intercept else []) + list(features)
-    beta = ([float(model.intercept)] if fit_intercept else []) + [float(v) for v in model.coefficients]
-    k = len(terms)
-    if cluster is None:
-        se_raw = list(model.summary.coefficientStandardErrors)
-        se = ([se_raw[-1]] + se_raw[:-1]) if fit_intercept else se_raw
+    if used:
+        model = glm.fit(data)
+        beta = ([float(model.intercept)] if fit_intercept else []) + [float(v) for v in model.coefficients]
     else:
-        pred = model.transform(data)
-        xs = ([F.lit(1.0)] if fit_intercept else []) + [F.col(f).cast("double") for f in features]
-        w, u = _row_weights(link, F.col(label), F.col("_p"), F.col("_eta"))
-        scored = pred.select(cluster, w.alias("_w"), u.alias("_u"), *[x.alias(f"_x{i}") for i, x in enumerate(xs)])
-        xcols = [F.col(f"_x{i}") for i in range(k)]
-        agg = scored.agg(F.count(F.lit(1)).alias("_n"), *_sym_sums(xcols, F.col("_w"))).first()
-        n = agg["_n"]
-        bread = np.linalg.inv(_sym_matrix(agg, k))
-        per_g = scored.groupBy(cluster).agg(*[F.sum(F.col("_u") * xcols[i]).alias(f"_g{i}")
-                                              for i in range(k)])
-        gcols = [F.col(f"_g{i}") for i in range(k)]
-        magg = per_g.agg(F.count(F.lit(1)).alias("_G"), *_sym_sums(gcols, F.lit(1.0))).first()
-        g = magg["_G"]
-        meat = _sym_matrix(magg, k)
+        raise ValueError("no column varies: there is nothing to estimate")
+    k = len(terms)
+    w, u = _row_weights(link, F.col(label), F.col("_p"), F.col("_eta"))
+    carry = [F.col(f"`{t}`").cast("double").alias(f"_x{i}") for i, t in enumerate(terms)]
+    scored = model.transform(data).select(*([F.col(cluster).alias("_cluster")] if cluster else []),
+                                          w.alias("_w"), u.alias("_u"), *carry)
+    xs = [f"_x{i}" for i in range(k)]
+    cov = np.linalg.inv(gram(scored, xs, "_w"))
+    if cluster is not None:
+        per_g = scored.groupBy("_cluster").agg(F.count(F.lit(1)).alias("_n"), *[F.sum(F.col("_u") * F.col(x)).alias(x) for x in xs])
+        sizes = per_g.agg(F.count(F.lit(1)).alias("g"), F.sum("_n").alias("n")).first()
+        g, n = sizes["g"], sizes["n"]
         corr = (g / (g - 1.0)) * ((n - 1.0) / (n - k)) if g > 1 and n > k else float("nan")
-        cov = corr * bread @ meat @ bread
-        se = [math.sqrt(v) if v >= 0 else float("nan") for v in np.diag(cov)]
+        cov = corr * cov @ gram(per_g, xs) @ cov
+    se = [math.sqrt(v) if v >= 0 else float("nan") for v in np.diag(cov)]
     rows = []
     for t, b, s in zip(terms, beta, se):
         z = b / s if s else float("nan")
         rows.append((t, b, float(s), z, norm_sf2(z), b - Z_975 * s, b + Z_975 * s))
+    rows += [(t, None, None, None, None, None, None) for t in every if t not in terms]
     table = df.sparkSession.createDataFrame(rows, TABLE_SCHEMA)
-    return GlmFit(model=model, table=table, terms=terms, data=data)
+    return GlmFit(model=model, table=table, terms=terms, data=data, base=base)
 
 
 def coefficient_table(df: DataFrame, label: str, features: list[str], **kw) -> DataFrame:
     fit = fit_binary_glm(df, label, features, **kw)
-    fit.data.unpersist()
+    fit.base.unpersist()
     return fit.table

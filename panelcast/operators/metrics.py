@@ -96,7 +96,13 @@ def _with_group(scores: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str
 
 
 def _score_counts(scores: DataFrame, keys: list[str], label: str, score: str) -> DataFrame:
-    """One row per (keys, distinct score) with positives and rows at that score."""
+    """One row per (keys, distinct score) with positives and rows at that score.
+
+    A row without a score fails the query: left out, it would change the metric in silence.
+    """
+    known = F.when(F.col(score).isNotNull(), F.col(score)).otherwise(
+        F.raise_error(F.lit(f"null in the score column {score}")).cast(scores.schema[score].dataType))
+    scores = scores.withColumn(score, known)
     return scores.groupBy(*keys, score).agg(
         F.sum(F.col(label).cast("long")).alias("tp"), F.count(F.lit(1)).alias("n"))
 

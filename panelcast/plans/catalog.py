@@ -16,6 +16,7 @@ from panelcast.operators import clean as C
 from panelcast.operators import encode as E
 from panelcast.operators import folds as FO
 from panelcast.operators import metrics as M
+from panelcast.operators import models as MD
 from panelcast.operators import scale as S
 from panelcast.sources.fixture import (FEATURES, SENTINEL_COLUMN, SENTINEL_VALUE, SPEC,
                                        fixture_panel)
@@ -123,6 +124,15 @@ def _scored(spark, sf_dir):
     return M.predict_class(clean(spark, sf_dir).select("y", (F.col("x2") * 10).alias("score")))
 
 
+def logo_inner_folds(spark, sf_dir):
+    """for every held-out item, the inner fold of each other item (items squared rows, no data rows)."""
+    t = FO.logo_fold_table(clean(spark, sf_dir), "item", "y")
+    pairs = t.select("item", "item_index", F.explode(F.sequence(F.lit(0), F.col("n_inner_folds"))).alias("other_index"))
+    pairs = pairs.filter("other_index <> item_index")
+    return pairs.select("item", "other_index",
+                        FO.inner_logo_fold(F.col("other_index"), F.col("item_index")).alias("inner_fold"))
+
+
 def confusion(spark, sf_dir):
     return _scored(spark, sf_dir).groupBy("y", "pred").agg(F.count(F.lit(1)).alias("n"))
 
@@ -188,16 +198,8 @@ CLASS_WEIGHT_SCHEMES = (None, "balanced", 3, 4, 5, 6, 7, 8, 9, 10)
 
 
 def class_weights(spark, sf_dir):
-    c = clean(spark, sf_dir).select("y")
-    out = None
-    for s in CLASS_WEIGHT_SCHEMES:
-        w = E.class_weight_column(c, "y", s)
-        g = w.groupBy("y").agg(F.first("w").alias("weight"), F.count(F.lit(1)).alias("n"),
-                               F.sum("w").alias("total_weight"))
-        g = g.select(F.lit("none" if s is None else str(s)).alias("scheme"), "y",
-                     rnd("weight").alias("weight"), "n", rnd("total_weight").alias("total_weight"))
-        out = g if out is None else out.unionByName(g)
-    return out
+    w = E.class_weight_table(clean(spark, sf_dir).select("y"), "y", CLASS_WEIGHT_SCHEMES)
+    return w.select("scheme", "y", rnd("weight").alias("weight"), "n", rnd("total_weight").alias("total_weight"))
 
 
 QUERIES = {
@@ -216,6 +218,7 @@ QUERIES = {
     "folds_expanding_h10": _folds_expanding(10),
     "folds_item_out": folds_item_out,
     "folds_nested": folds_nested,
+    "logo_inner_folds": logo_inner_folds,
     "confusion": confusion,
     "f1_bacc": f1_bacc,
     "class_report": class_report,
@@ -262,10 +265,22 @@ def probit_saturated(spark, sf_dir):
     pred = fit.model.transform(fit.data)
     out = cut_lineage(pred.groupBy("kind").agg(F.count(F.lit(1)).alias("n"),
                                                rnd(F.avg("_p")).alias("fitted_p")))
-    fit.data.unpersist()
+    fit.base.unpersist()
     return out
 
 
+def logit_no_const(spark, sf_dir):
+    from panelcast.operators.inference import coefficient_table
+    d, names = _kind_design(spark, sf_dir, drop_first=False)
+    return _coef_cols(coefficient_table(d, "y", names, fit_intercept=False))
+
+
+def probit_coef(spark, sf_dir):
+    from panelcast.operators.inference import coefficient_table
+    d, names = _kind_design(spark, sf_dir, drop_first=False)
+    return _coef_cols(coefficient_table(d, "y", names, fit_intercept=False, link="probit"))
+
+
 def coef_prefix_filter(spark, sf_dir):
     """Formula logit y ~ C(kind) * hi, then drop every term starting with 'kind_'."""
     from panelcast.operators.inference import coefficient_table
@@ -320,6 +335,8 @@ QUERIES.update({
     "logit_saturated": logit_saturated,
     "logit_cluster": logit_cluster,
     "probit_saturated": probit_saturated,
+    "logit_no_const": logit_no_const,
+    "probit_coef": probit_coef,
     "coef_prefix_filter": coef_prefix_filter,
     "anova_f": anova_f,
     "level_means": level_means,
@@ -338,17 +355,57 @@ def _model_panel(spark, sf_dir):
     return C.add_elapsed(clean(spark, sf_dir), "period").drop("min_period", "max_period", "mid_period")
 
 
-def forecast_logit(spark, sf_dir):
-    """W3, h=5: default logit (train only) and tuned logit (2 de-duplicated grid candidates)."""
-    from panelcast.plans.workflows import forecast
-    return forecast(_model_panel(spark, sf_dir), MODEL_FEATURES, horizons=(5,),
-                    models=("original", "logit"), budget=2)
+# Models whose fitted values are the training means of each kind, so that SQL can tell
+# their scores: logistic regression without a penalty, and one tree grown to the end.
+KIND_MODELS = {
+    "logit": lambda: MD.ModelSpec.of("logistic", penalty=None, tol=1e-10),
+    "tree": lambda: MD.ModelSpec.of("rf", n_estimators=1, max_depth=None, max_features=None, bootstrap=False),
+}
+SCORE_DIGITS = 6
 
 
-def forecast_rf(spark, sf_dir):
-    """W3, h=10: random forest (100 trees, depth 10) per fold."""
-    from panelcast.plans.workflows import forecast
-    return forecast(_model_panel(spark, sf_dir), MODEL_FEATURES, horizons=(10,), models=("rf_d10",))
+def _kind_panel(spark, sf_dir):
+    d, names = E.one_hot(clean(spark, sf_dir).select("row_key", "item", "period", "y", "kind"), "kind")
+    return d, names
+
+
+def _named(model):
+    return F.lit(model).alias("model")
+
+
+def _forecast_kind(model):
+    def q(spark, sf_dir):
+        """W3, every horizon and fold: AP of the model's forecasts from the kind dummies."""
+        from panelcast.plans.workflows import forecast
+        d, names = _kind_panel(spark, sf_dir)
+        ap = forecast(d, names, models=(KIND_MODELS[model](),), group_rows=True, digits=SCORE_DIGITS,
+                       parallelism=4)
+        return ap.select(_named(model), "horizon", "train_end", "test_period", rnd("ap").alias("ap"), "n", "n_pos")
+    return q
+
+
+def _item_out_kind(model):
+    def q(spark, sf_dir):
+        """AP on each held-out item of the model fitted on the other items."""
+        from panelcast.plans.workflows import leave_one_item_out
+        d, names = _kind_panel(spark, sf_dir)
+        ap = leave_one_item_out(d, names, models=(KIND_MODELS[model](),), group_rows=True, digits=SCORE_DIGITS,
+                       parallelism=4)
+        return ap.select(_named(model), F.col("held_item").alias("item"), rnd("ap").alias("ap"), "n", "n_pos")
+    return q
+
+
+def holdout_kind(spark, sf_dir):
+    """Both models on the stratified 80/20 split."""
+    from panelcast.plans.workflows import holdout_benchmark
+    d, names = _kind_panel(spark, sf_dir)
+    specs = {m: f() for m, f in KIND_MODELS.items()}
+    out = holdout_benchmark(d, names, models=tuple(specs.values()), group_rows=True, digits=SCORE_DIGITS,
+                       parallelism=4)
+    label = F.lit(None).cast("string")
+    for m, spec in specs.items():
+        label = F.when(F.col("model") == spec.label(), F.lit(m)).otherwise(label)
+    return out.filter("metric <> 'fit_minutes'").select(label.alias("model"), "metric", rnd("value").alias("value"))
 
 
 def forecast_gbt(spark, sf_dir):
@@ -357,12 +414,6 @@ def forecast_gbt(spark, sf_dir):
     return forecast(_model_panel(spark, sf_dir), MODEL_FEATURES, horizons=(10,), models=("gbt_r20",))
 
 
-def item_out_logit(spark, sf_dir):
-    """Default logit per held-out item."""
-    from panelcast.plans.workflows import leave_one_item_out
-    return leave_one_item_out(_model_panel(spark, sf_dir), MODEL_FEATURES, models=("original",))
-
-
 def holdout_models(spark, sf_dir):
     """Logistic, random forest and boosted trees on the stratified 80/20 split."""
     from panelcast.plans.workflows import holdout_benchmark
@@ -378,10 +429,12 @@ def param_ftest(spark, sf_dir):
 
 
 QUERIES.update({
-    "forecast_logit": forecast_logit,
-    "forecast_rf": forecast_rf,
+    "forecast_logit": _forecast_kind("logit"),
+    "forecast_rf": _forecast_kind("tree"),
     "forecast_gbt": forecast_gbt,
-    "item_out_logit": item_out_logit,
+    "item_out_logit": _item_out_kind("logit"),
+    "item_out_rf": _item_out_kind("tree"),
+    "holdout_kind": holdout_kind,
     "holdout_models": holdout_models,
     "param_ftest": param_ftest,
 })

@@ -7,6 +7,8 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+SPREAD_PARTITIONS = 16
+
 
 def build_session(master: str | None = None, app: str = "panelcast",
                   shuffle_partitions: int | None = None) -> SparkSession:
@@ -23,6 +25,7 @@ def build_session(master: str | None = None, app: str = "panelcast",
          .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
          .config("spark.sql.session.timeZone", "UTC")
+         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
          .config("spark.sql.execution.arrow.pyspark.enabled", "true"))
     if master:
         b = b.master(master)
@@ -56,16 +59,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
     """Persist a frame that an iterative job (optimiser, search) will re-read.
 
-    Small inputs (one parquet row group) arrive as one partition, which would
-    run every optimiser pass in one task; it is then spread to the default
-    parallelism.  Large inputs already have more partitions than cores and
-    are left as they are (no extra shuffle).
+    Rows go to a declared number of partitions by a hash of their values and are sorted in
+    them, so that what is seeded per partition (bagging) does not depend on the number of
+    cores or on the input's files.  The number is the parameter, or the setting
+    panelcast.spread.partitions, or SPREAD_PARTITIONS; set it by the size of the panel.
     """
     from pyspark import StorageLevel
-    want = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
-        df = df.repartition(want)
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    from pyspark.sql import functions as F
+    from pyspark.sql.types import UserDefinedType
+    n = int(partitions or df.sparkSession.conf.get("panelcast.spread.partitions", str(SPREAD_PARTITIONS)))
+    plain = [f.name for f in df.schema.fields if not isinstance(f.dataType, UserDefinedType)]
+    key = F.xxhash64(*[F.col(f"`{c}`") for c in plain])
+    return df.repartition(n, key).sortWithinPartitions(key).persist(StorageLevel.MEMORY_AND_DISK)

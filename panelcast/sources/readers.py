@@ -51,8 +51,16 @@ def read_stata(spark: SparkSession, path: str, schema, glob: str = "*.dta") -> D
 
 
 def read_csv(spark: SparkSession, path: str, schema) -> DataFrame:
-    """CSV with a header, declared schema (no inference pass)."""
-    return spark.read.schema(schema).option("header", True).csv(path)
+    """CSV with a header; the declared columns by name, cast to their types (no inference pass).
+
+    The file may hold other columns and another order; a missing column fails.
+    """
+    raw = spark.read.option("header", True).csv(path)
+    fields = _schema(spark, schema).fields
+    missing = [f.name for f in fields if f.name not in raw.columns]
+    if missing:
+        raise ValueError(f"{path}: missing columns {missing}")
+    return raw.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in fields])
 
 
 def read_whitespace(spark: SparkSession, path: str, columns: list[tuple[str, str]]) -> DataFrame:
@@ -71,11 +79,12 @@ def ingest_to_parquet(df: DataFrame, out: str, partition_by: list[str] | None =
 
 
 def load_study(spark: SparkSession, study, base_dir: str, schema=None) -> DataFrame:
-    """Read one study's panel file with its declared format.
+    """Read one study's panel: its own columns, without the sentinel's and null rows.
 
     ``schema`` (DDL or StructType) is required for Stata and CSV input; the
     whitespace format takes names from the study and doubles for values.
-    Only the study's columns are selected, and the sentinel rule is applied.
+    Keys and covariates that the study names are kept; rows with a null in one of
+    them are dropped, as the studies do.
     """
     from panelcast.operators.clean import drop_sentinel
     path = f"{base_dir.rstrip('/')}/{study.path}"
@@ -87,4 +96,10 @@ def load_study(spark: SparkSession, study, base_dir: str, schema=None) -> DataFr
         df = read_stata(spark, path, schema, glob=study.path.rsplit("/", 1)[-1])
     if study.sentinel:
         df = drop_sentinel(df, *study.sentinel)
-    return df
+    keys = [study.unit, study.period, study.item, study.cluster, *study.one_hot]
+    wanted = [c for c in dict.fromkeys([study.label, *study.covariates, *filter(None, keys)])
+              if c in df.columns and c not in study.drop_from_x]
+    missing = [c for c in (study.label, *study.covariates) if c not in df.columns]
+    if missing:
+        raise ValueError(f"{path}: missing columns {missing}")
+    return df.select(*wanted).na.drop()
