@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from panelcast.llm.common import received, ship, shuffle_width, table
 
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 #: The longest word that is merged by plain scanning; longer ones use a heap.
 SCAN = 96
 #: Unicode's White_Space, which `\s` means in the tokenizer's own library.
