@@ -13,13 +13,20 @@ from pyspark.sql import functions as F
 from panelcast.session import cut_lineage
 
 
-def _kept(edges: DataFrame, rows: int | None = None) -> tuple[DataFrame, tuple]:
-    """Checkpointed edges in as many partitions as `rows` links need, with their count and hash."""
+def _kept(edges: DataFrame, rows: int | None = None) -> DataFrame:
+    """Checkpointed edges, in as many partitions as `rows` links need."""
     if rows is not None:
         edges = edges.coalesce(max(1, -(-rows // 100_000)))
-    edges = cut_lineage(edges)
-    row = edges.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("h")).first()
-    return edges, (row["n"], row["h"])
+    return cut_lineage(edges)
+
+
+def _open(edges: DataFrame) -> int:
+    """Nodes that do not hang directly, and by one link only, below a root: 0 if all are stars."""
+    ends = edges.select(F.inline(F.array(
+        F.struct(F.col("u").alias("node"), F.lit(1).alias("below"), F.lit(0).alias("above")),
+        F.struct(F.col("v").alias("node"), F.lit(0).alias("below"), F.lit(1).alias("above")))))
+    per = ends.groupBy("node").agg(F.sum("below").alias("below"), F.max("above").alias("above"))
+    return per.filter("below > 1 OR (below = 1 AND above = 1)").count()
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -39,16 +46,14 @@ def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of links (a, b): the smallest node reachable.
 
     Self links, repeats and both directions are allowed; nodes without links are absent;
-    rows with a null end are ignored. Runs until nothing changes.
+    rows with a null end are ignored. Runs until every component is a star around its root.
     """
     edges = (links.filter("a IS NOT NULL AND b IS NOT NULL AND a <> b")
              .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
-    edges, state = _kept(edges.distinct())
-    while True:
-        edges, now = _kept(_small_star(_large_star(edges)), state[0])
-        if now == state:
-            break
-        state = now
+    edges = _kept(edges.distinct())
+    rows = edges.count()
+    while _open(edges):
+        edges = _kept(_small_star(_large_star(edges)), rows)
     roots = edges.select(F.col("v").alias("node")).distinct()
     return (edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
             .unionByName(roots.select("node", F.col("node").alias("component"))))
