@@ -25,8 +25,10 @@ def levels(df: DataFrame, col: str, max_levels: int = MAX_LEVELS) -> list:
 
 
 def dummy_name(prefix: str, level) -> str:
-    lv = level if isinstance(level, str) else repr(level)
-    return f"{prefix}_{re.sub(r'[^0-9A-Za-z_.#-]', '_', str(lv))}"
+    """prefix_level without characters that column references treat specially."""
+    if isinstance(level, float) and level.is_integer():
+        level = int(level)
+    return f"{prefix}_{re.sub(r'[^0-9A-Za-z_#-]', '_', str(level))}"
 
 
 def one_hot(df: DataFrame, col: str, lvls=None, drop_first: bool = True,

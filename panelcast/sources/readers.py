@@ -96,7 +96,7 @@ def load_study(spark: SparkSession, study, base_dir: str, schema=None) -> DataFr
         df = read_stata(spark, path, schema, glob=study.path.rsplit("/", 1)[-1])
     if study.sentinel:
         df = drop_sentinel(df, *study.sentinel)
-    keys = [study.unit, study.period, study.item, study.cluster, *study.one_hot]
+    keys = [study.unit, study.period, study.item, study.cluster, *study.spec().categorical]
     wanted = [c for c in dict.fromkeys([study.label, *study.covariates, *filter(None, keys)])
               if c in df.columns and c not in study.drop_from_x]
     missing = [c for c in (study.label, *study.covariates) if c not in df.columns]
