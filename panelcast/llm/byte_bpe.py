@@ -212,10 +212,25 @@ def _encode_bucket(shipped):
     return run
 
 
-def _reassemble(id_type: str):
+def token_bytes(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The token-byte table as arrays by id: length, start, and all bytes."""
+    tokens = sorted((rank, token) for token, rank in ranks.items())
+    lengths = np.zeros(tokens[-1][0] + 1, np.int64)
+    lengths[[r for r, _ in tokens]] = [len(t) for _, t in tokens]
+    return lengths, np.cumsum(lengths) - lengths, np.frombuffer(b"".join(t for _, t in tokens), np.uint8)
+
+
+def _look_up(ids: bytes, tokens: tuple) -> bytes:
+    lengths, start, raw = tokens
+    x = np.frombuffer(ids, "<u4")
+    return raw[_spread(start[x], lengths[x])].tobytes()
+
+
+def _reassemble(shipped, decoded: bool):
     def run(key, docs, words):
         if key[0].as_py() < 0 or not docs.num_rows:
-            return pa.table({"_id": pa.array([], id_type), "_ids": pa.array([], pa.binary())})
+            return _documents(pa.array([], pa.int64()), [], [] if decoded else None)
+        token_table = received(shipped) if decoded else None
         (payload,) = docs["_payload"].to_pylist()
         ids, counts, codes, size = _unpack(payload)
         with pa.ipc.open_stream(ids) as reader:
@@ -237,10 +252,15 @@ def _reassemble(id_type: str):
             c = codes[at:at + n]
             at += n
             out.append(flat[_spread(start[c], length[c])].tobytes())
-        return pa.table({"_id": doc_ids.cast(id_type), "_ids": pa.array(out, pa.binary())})
+        return _documents(doc_ids.cast(pa.int64()), out, [_look_up(x, token_table) for x in out] if decoded else None)
     return run
 
 
+def _documents(doc_ids, ids: list[bytes], texts: list[bytes] | None) -> pa.Table:
+    columns = {"_id": doc_ids, "_ids": pa.array(ids, pa.binary())}
+    return pa.table(columns | ({} if texts is None else {"_bytes": pa.array(texts, pa.binary())}))
+
+
 def _spread(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     """start[0] .. start[0] + length[0] - 1, then the same for the next ..., as one array."""
     ends = np.cumsum(length)
@@ -249,50 +269,43 @@ def _spread(start: np.ndarray, length: np.ndarray) -> np.ndarray:
 
 
 def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
-           block_tokens: int = BLOCK) -> DataFrame:
+           block_tokens: int = BLOCK, decoded: bool = False) -> DataFrame:
     """One row per input row: <id_col>, ids (binary: little-endian unsigned 32-bit integers).
 
-    A null or empty text has no ids. Texts are encoded whole, however long; special tokens
-    are ordinary text. Repeated rows are encoded each; an empty table gives an empty result;
-    other columns are ignored. The rank file is read on the driver; its path is a parameter.
+    With `decoded` also decoded, the bytes that the ids stand for in the token-byte table, as
+    `decode` gives them, looked up where the ids are made. A null or empty text has no ids.
+    Texts are encoded whole, however long; special tokens are ordinary text. Repeated rows are
+    encoded each; an empty table gives an empty result; other columns are ignored. The rank
+    file is read on the driver; its path is a parameter.
     """
     spark = docs.sparkSession
-    shipped = ship(spark, read_ranks(rank_file))
+    ranks = read_ranks(rank_file)
+    tokens = ship(spark, token_bytes(ranks))
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     cut = rows.mapInArrow(_cut(pattern, shuffle_width(spark), block_tokens), PACKED)
-    encoded = cut.groupBy("_key").applyInArrow(_encode_bucket(shipped), PACKED)
+    encoded = cut.groupBy("_key").applyInArrow(_encode_bucket(ship(spark, ranks)), PACKED)
     out = (cut.groupBy("_key").cogroup(encoded.groupBy("_key"))
-           .applyInArrow(_reassemble("int64"), "_id long, _ids binary"))
-    return out.select(F.col("_id").alias(id_col), F.col("_ids").alias("ids"))
+           .applyInArrow(_reassemble(tokens, decoded), "_id long, _ids binary" + ", _bytes binary" * decoded))
+    return out.select(F.col("_id").alias(id_col), F.col("_ids").alias("ids"),
+                      *([F.col("_bytes").alias("decoded")] if decoded else []))
 
 
 def decode(encoded: DataFrame, rank_file: str, ids_col: str = "ids", to_col: str = "decoded") -> DataFrame:
     """`encoded` with the bytes of its ids: the ids meet the token-byte table, one row a token,
     which is broadcast (its size is the vocabulary's). Null ids decode to null."""
-    tokens = sorted((rank, token) for token, rank in read_ranks(rank_file).items())
-    lengths = np.zeros(tokens[-1][0] + 1, np.int64)
-    lengths[[r for r, _ in tokens]] = [len(t) for _, t in tokens]
-    shipped = ship(encoded.sparkSession, (lengths, np.cumsum(lengths) - lengths,
-                                          np.frombuffer(b"".join(t for _, t in tokens), np.uint8)))
+    shipped = ship(encoded.sparkSession, token_bytes(read_ranks(rank_file)))
 
     def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        size, start, raw = received(shipped)
+        tokens = received(shipped)
         for part in parts:
-            out = []
-            for ids in part:
-                x = ids.as_py()
-                if x is not None:
-                    x = np.frombuffer(x, "<u4")
-                    x = raw[_spread(start[x], size[x])].tobytes()
-                out.append(x)
-            yield pa.array(out, pa.binary())
+            yield pa.array([None if x is None else _look_up(x, tokens) for x in (i.as_py() for i in part)], pa.binary())
     column = F.arrow_udf(run, "binary")
     return encoded.withColumn(to_col, column(F.col(ids_col)))
 
 
 def digests(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """<id_col>, n_tokens, ids_sha256, decoded_sha256 of every document."""
-    both = decode(encode(docs, rank_file, pattern, id_col, text_col), rank_file)
+    both = encode(docs, rank_file, pattern, id_col, text_col, decoded=True)
     return both.select(id_col, (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
                        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -126,6 +126,14 @@ def test_small_blocks_give_the_same_ids(spark, documents, frame):
     assert sorted(map(tuple, a)) == sorted(map(tuple, b))
 
 
+def test_decode_gives_the_bytes_back(frame, documents):
+    docs = frame(documents[:40])
+    coded = byte_bpe.encode(docs, RANK_FILE, public_tokenizers.PATTERN, decoded=True)
+    twice = byte_bpe.decode(coded, RANK_FILE, to_col="again").collect()
+    text = {i: (t or "").encode() for i, t, *_ in documents[:40]}
+    assert all(r.again == r.decoded == text[r.doc_id] for r in twice) and len(twice) == 40
+
+
 def test_texts_are_cut_once(frame):
     df = byte_bpe.encode(frame([(1, "a b", "en", "s")]), RANK_FILE, public_tokenizers.PATTERN)
     df.collect()
