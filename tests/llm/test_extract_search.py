@@ -2,7 +2,7 @@ import math
 
 import numpy as np
 import pytest
-from conftest import SF
+from .conftest import SF
 
 from panelcast.llm import ann, html_text, url_filter
 

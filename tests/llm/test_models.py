@@ -2,7 +2,7 @@ import zlib
 
 import numpy as np
 import pytest
-from conftest import SF
+from .conftest import SF
 from pyspark.sql import functions as F
 
 from panelcast.llm import language_id, quality, toxicity

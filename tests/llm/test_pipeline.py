@@ -3,9 +3,9 @@ import hashlib
 import numpy as np
 import public_tokenizers
 import tiktoken
-from conftest import SF
-from test_dedup import brute_exact, brute_near
-from test_mix_bpe import brute_targets, words
+from .conftest import SF
+from .test_dedup import brute_exact, brute_near
+from .test_mix_bpe import brute_targets, words
 
 import corpus_pipeline
 from panelcast.llm import byte_bpe
