@@ -156,3 +156,29 @@ def test_components(spark):
 
 def test_no_links(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def template_rows():
+    """600 texts of one template that are not alike, and 60 that are like one of them only."""
+    rng = random.Random(8)
+    template = [f"t{k}" for k in range(160)]
+    tails = [[f"m{rng.randrange(10**9)}" for _ in range(40)] for _ in range(600)]
+    rows = [(10 + k, " ".join(template + tail)) for k, tail in enumerate(tails)]
+    rows += [(5000 + k, " ".join(template + tails[7 * k][:14] + [f"x{rng.randrange(10**9)}" for _ in range(26)])) for k in range(60)]
+    return rows
+
+
+def test_members_of_a_crowded_region_that_link_to_one_row(spark, frame):
+    rows = template_rows()
+    want = brute_near(rows)
+    assert sum(kept for *_, kept in want) == 600
+    got = minhash_forest.near_dedup(frame([(i, t, "en", "s") for i, t in rows]).repartition(5)).collect()
+    assert sorted((tuple(r) for r in got), key=repr) == want
+
+
+def test_crossings_do_not_depend_on_the_tile(spark, frame):
+    rows = minhash_forest.sketches(frame([(i, t, "en", "s") for i, t in template_rows()]), "doc_id", "text")
+    classes = rows.selectExpr("_id AS _rep", "_n", "_sig", "CASE WHEN _id < 400 THEN 10 ELSE _id END AS _comp").localCheckpoint()
+    whole = {tuple(r) for r in minhash_forest.crossings(classes, 6).collect()}
+    assert whole and {tuple(r) for r in minhash_forest.crossings(classes, 6, tile=25).collect()} == whole
+    assert all(a < b and b >= 400 for a, b in whole)
