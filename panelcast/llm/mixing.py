@@ -2,7 +2,8 @@
 
 `slots` points of the golden-ratio sequence are mapped through the cumulative target
 shares, so that every prefix of the schedule holds the sources in nearly the target
-proportions. Slots are ranked per source; rank r of a source takes the r-th of its
+proportions. A source too small for any of the points gets one slot behind them, so every
+source with a target has a block. Slots are ranked per source; rank r of a source takes the r-th of its
 equal-token blocks: the source's documents in a hash order, read round and round, cut into
 as many equal blocks as the source has slots. A document's words in the mix are the sum of
 its overlaps with the blocks that the schedule takes.
@@ -65,7 +66,8 @@ def schedule(spark: SparkSession, goals: DataFrame, slots: int) -> DataFrame:
     """(slot, _src, rank, n_slots): the order in which sources' blocks enter the mix.
 
     The points meet the sources' intervals through a grid of cells (an equality join of
-    at most slots rows with sources + CELLS rows).
+    at most slots rows with sources + CELLS rows). Sources whose interval holds no point
+    follow in slots, slots + 1, ..., one each, in the order of _src.
     """
     upto = Window.orderBy("_src").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     total = F.sum("target").over(Window.partitionBy())
@@ -89,8 +91,12 @@ def schedule(spark: SparkSession, goals: DataFrame, slots: int) -> DataFrame:
                            F.sum("_n").over(Window.partitionBy("_src")).alias("n_slots"))
     inside = Window.partitionBy("_src", "_stretch").orderBy("slot")
     ranked = taken.withColumn("_rank", F.row_number().over(inside) - 1)
-    return (ranked.join(counts, ["_src", "_stretch"])
-            .select("slot", "_src", (F.col("_off") + F.col("_rank")).alias("rank"), "n_slots"))
+    ranked = (ranked.join(counts, ["_src", "_stretch"])
+              .select("slot", "_src", (F.col("_off") + F.col("_rank")).alias("rank"), "n_slots"))
+    missed = spans.select("_src").join(counts.select("_src").distinct(), "_src", "left_anti")
+    missed = missed.select((F.row_number().over(Window.orderBy("_src")) + (slots - 1)).cast("long").alias("slot"), "_src",
+                           F.lit(0).cast("long").alias("rank"), F.lit(1).cast("long").alias("n_slots"))
+    return ranked.unionByName(missed)
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
@@ -101,8 +107,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     Size is the number of words of the whole text; null and empty texts have size 0 and are
     never taken. A null source is a source of its own, the last. Rows that share an id are
     ordered by size and count each for themselves. If all texts are empty, targets and
-    taken are 0. A source's taken words are its target rounded down, unless its share is
-    below about 1 / slots, where no slot may fall on it. A row is taken at most `times`
+    taken are 0. A source's taken words are its target rounded down, however small its share. A row is taken at most `times`
     times. Reruns give the same rows. An empty table gives an empty result; other columns
     are ignored. 16^digits buckets cut the running totals of a source.
     """

@@ -145,3 +145,13 @@ def test_long_words_merge_alike():
     for n in (2, 50, 97, 400, 3000):
         word = "".join(rng.choice("etaoinshrdlu") for _ in range(n)).encode()
         assert byte_bpe.encode_word(word, RANKS) == byte_bpe._encode_long(word, RANKS) == TIKTOKEN.encode_ordinary(word.decode())
+
+
+def test_source_of_a_ten_millionth_of_the_words(spark):
+    docs = spark.range(20).selectExpr("id AS doc_id", "repeat('w ', 500000) AS text", "if(id < 10, 'a', 'b') AS source")
+    docs = docs.unionAll(spark.sql("SELECT 100L, 'w', 'bb'")).unionAll(spark.sql("SELECT 101L, 'w w', 'c'"))
+    got = {r.doc_id: (r.size, r.target, r.taken) for r in mixing.mix(docs).collect()}
+    assert got[100] == (1, 3.0, 3) and got[101] == (2, 6.0, 6)
+    assert sum(taken for _, _, taken in got.values()) in (10_000_002, 10_000_003)
+    plan = mixing.schedule(spark, mixing.targets(mixing.sized(docs, "doc_id", "text", "source", "mix")), 1000).collect()
+    assert sorted(r.slot for r in plan) == list(range(1002)) and {r.n_slots for r in plan if r.slot >= 1000} == {1}
