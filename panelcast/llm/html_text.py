@@ -29,7 +29,9 @@ de la le et les des en un du une que est pour qui dans a par plus pas au sur ne
 el y los se del las por con no una su para es al lo como más o pero sus le ha me sin sobre este
 """.split())
 #: Tags whose content is no text; tags that end a block; parts of a page that are not the article.
-SILENT = "script|style|noscript|template|svg|math|iframe|object|select|textarea|button|form|head|canvas|video|audio"
+#: RAW elements hold no markup, MUTE ones do. Only scripts and styles without an end tag run to the end of the page.
+RAW = frozenset("script style noscript template iframe textarea title".split())
+MUTE = frozenset("svg math object select button form canvas video audio".split())
 BLOCKS = frozenset("""address article aside blockquote body br canvas caption center dd details dialog div dl dt fieldset
 figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section
 summary table tbody td tfoot th thead title tr ul""".split())
@@ -45,10 +47,11 @@ MARKED = re.compile(r"(?:^|(?<!with)(?<!has)(?<!no)[^a-z])(?:ads?|advert\w*|spon
 SHORT, LONG, LINKED, STOP_LOW, STOP_HIGH = 70, 200, 0.3, 0.08, 0.12
 
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<silent>{SILENT})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=silent)\s*>|\Z)|"
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|"
     r"<[!?][^>]*>|<(?P<close>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.I | re.S)
 _MARKS = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_ENDS = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW | MUTE}
 _SPACES = re.compile(r"\s+")
 _WORDS = re.compile(r"[^\W\d_]+")
 
@@ -74,19 +77,50 @@ def blocks_of(page: str) -> list[tuple[str, _Block]]:
         block = _Block(any(s[1] for s in stack), heading, next((s[2] for s in reversed(stack) if s[2]), 0),
                        any(s[0] in ("article", "main") for s in stack))
 
+    def muted():
+        return any(s[0] in MUTE for s in stack)
+
+    last_end = {}
+
+    def ends_after(tag, at):
+        if tag not in last_end:
+            last_end[tag] = max((m.start() for m in _ENDS[tag].finditer(page)), default=-1)
+        return last_end[tag] >= at
+
     def say(text):
-        if text:
+        if text and not muted():
             block.bits.append(text)
             if links:
                 block.linked += len(text.strip())
     at = 0
-    for m in _TOKEN.finditer(page):
+    while m := _TOKEN.search(page, at):
         say(page[at:m.start()])
         at = m.end()
         tag = (m["tag"] or "").lower()
         if not tag:
-            if m["silent"]:
-                turn()
+            continue
+        if tag in RAW and not m["close"]:
+            if ends_after(tag, at) and (tag in ("script", "style") or not m["rest"].endswith("/")):
+                at = _ENDS[tag].search(page, at).end()
+            elif tag in ("script", "style"):
+                at = len(page)
+            turn()
+            continue
+        if tag in MUTE and not m["close"]:
+            # self-closed, or never closed: empty; else up to its end tag or that of an element around it
+            turn()
+            if not m["rest"].endswith("/") and ends_after(tag, at):
+                stack.append((tag, False, 0))
+            continue
+        if muted():
+            if m["close"]:
+                if any(s[0] == tag for s in stack):
+                    while stack.pop()[0] != tag:
+                        pass
+                    if not muted():
+                        turn()
+            elif tag in BLOCKS and tag not in VOID and not m["rest"].endswith("/"):
+                stack.append((tag, False, 0))
             continue
         if tag == "a":
             links = max(0, links - 1) if m["close"] else links + 1
@@ -112,7 +146,7 @@ def blocks_of(page: str) -> list[tuple[str, _Block]]:
                 sections += 1
             stack.append((tag, bad, sections if tag in SECTIONS else 0))
         turn(tag in ("h1", "h2", "h3", "h4", "h5", "h6"))
-    say(page[at:] if "<" not in page[at:] else re.sub(r"<[^>]*\Z", "", page[at:], flags=re.S))
+    say(page[at:] if "<" not in page[at:] else re.sub(r"</?[a-z][^>]*\Z", "", page[at:], flags=re.S | re.I))
     turn()
     return out
 
@@ -123,7 +157,7 @@ def first_pass(text: str, block: _Block) -> bool | None:
         return False
     linked = block.linked / len(text)
     if linked > LINKED:
-        return False
+        return None if block.article else False
     if len(text) < SHORT or block.heading:
         return None
     words = _WORDS.findall(text.lower())

@@ -146,3 +146,22 @@ def test_url_plan_has_no_python(spark):
     frame = spark.createDataFrame(URLS, "page_id long, url string")
     plan = url_filter.judge_urls(frame)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+@pytest.mark.parametrize("page", [
+    f"<html><head><title>x</title><body><article><p>{LONG}</article>",
+    f"<html><head><title>x</title><article><p>{LONG}</article>",
+    f"<article><svg class=i /><p>{LONG}</p></article>",
+    f"<article><iframe src='x'/><p>{LONG}</p></article>",
+    f"<div><button>Go</div><article><p>{LONG}</p></article><button>x</button>",
+    f"<article><object data=x><p>{LONG}</p></article>",
+])
+def test_silent_elements_without_an_end_tag(page):
+    assert html_text.main_text(page) == LONG
+
+
+def test_bare_less_than_and_linked_paragraphs():
+    plain = f"{LONG} x < 5 and so on"
+    assert html_text.main_text(plain) == plain
+    linked = f"<article><p>{LONG}</p><p>See <a href=x>the report of the keeper</a> too.</p><p>{LONG}</p></article>"
+    assert html_text.main_text(linked) == f"{LONG}\nSee the report of the keeper too.\n{LONG}"
