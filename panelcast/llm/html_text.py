@@ -43,6 +43,9 @@ MARKED = re.compile(r"(?:^|(?<!with)(?<!has)(?<!no)[^a-z])(?:ads?|advert\w*|spon
                     r"subscribe|sidebar|side|menu|nav\w*|breadcrumbs?|footer|header|masthead|comments?|disqus|respon[ds]e?|"
                     r"replies|reply|related|share|social|widget|login|search|toolbar|complementary|contentinfo|"
                     r"navigation)(?:$|[^a-z])")
+#: Class words that speak of the layout around the article, not of a part beside it.
+LAYOUT = re.compile(r"\S*[-_](?:left|right|both|none|layout|container|wrapper|by[-_]side)(?=\s|$)")
+HARD = 2
 #: Bounds of pass 1: characters of a short block, of a long one; share of linked characters; shares of stop words.
 SHORT, LONG, LINKED, STOP_LOW, STOP_HIGH = 70, 200, 0.3, 0.08, 0.12
 
@@ -74,7 +77,7 @@ def blocks_of(page: str) -> list[tuple[str, _Block]]:
         text = _SPACES.sub(" ", html.unescape("".join(block.bits))).strip()
         if text:
             out.append((text, block))
-        block = _Block(any(s[1] for s in stack), heading, next((s[2] for s in reversed(stack) if s[2]), 0),
+        block = _Block(around(), heading, next((s[2] for s in reversed(stack) if s[2]), 0),
                        any(s[0] in ("article", "main") for s in stack))
 
     def muted():
@@ -87,6 +90,17 @@ def blocks_of(page: str) -> list[tuple[str, _Block]]:
             last_end[tag] = max((m.start() for m in _ENDS[tag].finditer(page)), default=-1)
         return last_end[tag] >= at
 
+    def around():
+        """Hard marks count anywhere; those of a wrapper's class end at the article or main inside it."""
+        if any(s[1] == HARD for s in stack):
+            return True
+        for s in reversed(stack):
+            if s[1]:
+                return True
+            if s[0] in ("article", "main") and s[3]:
+                return False
+        return False
+
     def say(text):
         if text and not muted():
             block.bits.append(text)
@@ -110,7 +124,7 @@ def blocks_of(page: str) -> list[tuple[str, _Block]]:
             # self-closed, or never closed: empty; else up to its end tag or that of an element around it
             turn()
             if not m["rest"].endswith("/") and ends_after(tag, at):
-                stack.append((tag, False, 0))
+                stack.append((tag, 0, 0, False))
             continue
         if muted():
             if m["close"]:
@@ -120,7 +134,7 @@ def blocks_of(page: str) -> list[tuple[str, _Block]]:
                     if not muted():
                         turn()
             elif tag in BLOCKS and tag not in VOID and not m["rest"].endswith("/"):
-                stack.append((tag, False, 0))
+                stack.append((tag, 0, 0, False))
             continue
         if tag == "a":
             links = max(0, links - 1) if m["close"] else links + 1
@@ -139,12 +153,16 @@ def blocks_of(page: str) -> list[tuple[str, _Block]]:
                     stack.pop()
             marks = " ".join(filter(None, (x for found in _MARKS.findall(m["rest"]) for x in found))).lower()
             inside = any(s[0] in ("article", "main") for s in stack)
+            marked = bool(MARKED.search(LAYOUT.sub(" ", marks)))
             # a header inside the article is the article's own head
-            bad = (tag in AROUND and not (tag == "header" and inside)) or (
-                tag not in ("body", "html", "article", "main") and bool(MARKED.search(marks))) or bool(_HIDDEN.search(m["rest"]))
+            own_head = tag == "header" and inside
+            hard = (tag in AROUND and not own_head) or bool(_HIDDEN.search(m["rest"]))
+            bad = HARD if hard else int(marked and not own_head and tag not in ("body", "html", "article", "main"))
+            # an article in another one, or with a mark of its own, may be a comment: it ends no outer mark
+            frees = tag in ("article", "main") and not marked and not any(s[0] == "article" for s in stack)
             if tag in SECTIONS:
                 sections += 1
-            stack.append((tag, bad, sections if tag in SECTIONS else 0))
+            stack.append((tag, bad, sections if tag in SECTIONS else 0, frees))
         turn(tag in ("h1", "h2", "h3", "h4", "h5", "h6"))
     say(page[at:] if "<" not in page[at:] else re.sub(r"</?[a-z][^>]*\Z", "", page[at:], flags=re.S | re.I))
     turn()

@@ -165,3 +165,24 @@ def test_bare_less_than_and_linked_paragraphs():
     assert html_text.main_text(plain) == plain
     linked = f"<article><p>{LONG}</p><p>See <a href=x>the report of the keeper</a> too.</p><p>{LONG}</p></article>"
     assert html_text.main_text(linked) == f"{LONG}\nSee the report of the keeper too.\n{LONG}"
+
+
+@pytest.mark.parametrize("page", [
+    f"<div class='content sidebar-right'><article><p>{LONG}</p></article></div>",
+    f"<div class='content sidebar-right'><p>{LONG}</p></div>",
+    f"<div class='side-by-side'><p>{LONG}</p></div>",
+    f"<div id=share-container><p>{LONG}</p></div>",
+    f"<div class=social><main><p>{LONG}</p></main></div>",
+    f"<article><header class='entry-header'>{LONG}</header></article>",
+])
+def test_marked_wrappers_around_the_article(page):
+    assert html_text.main_text(page) == LONG
+
+
+@pytest.mark.parametrize("page", [
+    f"<div id=comments><article class='comment-body'><p>{LONG}</p></article></div>",
+    f"<article><section class=comments><article><p>{LONG}</p></article></section></article>",
+    f"<aside><article><p>{LONG}</p></article></aside>", f"<div hidden><article><p>{LONG}</p></article></div>",
+])
+def test_marks_that_hold(page):
+    assert html_text.main_text(page) == ""
