@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from panelcast.llm import (ann, byte_bpe, exact_dedup, html_text, language_id, minhash_forest, mixing, quality, toxicity,
+from panelcast.llm import (ann, byte_bpe, exact_dedup, html_text, language_id, line_dedup, minhash_forest, mixing, quality, toxicity,
                            url_filter)
 
 QUERIES = {
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_url_filter": url_filter.op8_url_filter,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_quality": quality.op10_quality,
+    "op11_line_dedup": line_dedup.op11_line_dedup,
 }
 
 SQL = {
@@ -23,4 +24,5 @@ SQL = {
     "op2_exact_dedup": exact_dedup.SQL,
     "op7_mix": mixing.SQL,
     "op8_url_filter": url_filter.SQL,
+    "op11_line_dedup": line_dedup.SQL,
 }

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import pickle
+import uuid
 from collections.abc import Iterator
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from panelcast.session import ensure_checkpoint_dir
+
 #: A run of ASCII white space / a word, as Java and RE2 patterns.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -53,3 +56,14 @@ def ship(spark: SparkSession, model):
 
 def received(shipped):
     return pickle.loads(shipped.value)
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder path below the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a scratch folder once nothing reads it any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
