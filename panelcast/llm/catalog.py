@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from panelcast.llm import (ann, byte_bpe, exact_dedup, html_text, language_id, line_dedup, minhash_forest, mixing, quality, toxicity,
-                           url_filter)
+from panelcast.llm import (ann, byte_bpe, exact_dedup, html_text, language_id, line_dedup, minhash_forest, mixing, periodic_runs, quality, toxicity,
+                           url_filter, whitening)
 
 QUERIES = {
     "op1_minhash_forest": minhash_forest.op1_minhash_forest,
@@ -17,6 +17,8 @@ QUERIES = {
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_quality": quality.op10_quality,
     "op11_line_dedup": line_dedup.op11_line_dedup,
+    "op12_periodic_runs": periodic_runs.op12_periodic_runs,
+    "op13_whitening": whitening.op13_whitening,
 }
 
 SQL = {
@@ -25,4 +27,5 @@ SQL = {
     "op7_mix": mixing.SQL,
     "op8_url_filter": url_filter.SQL,
     "op11_line_dedup": line_dedup.SQL,
+    "op12_periodic_runs": periodic_runs.SQL,
 }
