@@ -1,13 +1,15 @@
 """Distribution tail functions for small result tables (no scipy needed).
 
-Only ever applied to a handful of rows (one per model term or per
-hyper-parameter), inside a pandas UDF or on a k-row coefficient table.
+`f_tail` is a column expression; the plain functions are its check and serve k-row coefficient tables.
 """
 
 from __future__ import annotations
 
 import math
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 # Fixed value: two-sided 95 % normal quantile used for confidence intervals.
 Z_975 = 1.959963984540054
 
@@ -59,6 +61,59 @@ def betainc(a: float, b: float, x: float) -> float:
     return 1.0 - front * _betacf(b, a, 1.0 - x) / b
 
 
+def log_gamma(x: Column) -> Column:
+    """ln gamma(x) for x > 0 as a column expression: Stirling's series from x + 10 on."""
+    z = x + 10
+    shift = F.log(x)
+    for k in range(1, 10):
+        shift = shift + F.log(x + k)
+    i = 1 / z
+    i2 = i * i
+    series = i * (1 / 12 - i2 * (1 / 360 - i2 * (1 / 1260 - i2 * (1 / 1680 - i2 / 1188))))
+    return (z - 0.5) * F.log(z) - z + 0.5 * math.log(2 * math.pi) + series - shift
+
+
+def f_tail(f: Column, d1: Column, d2: Column, steps: int = 600) -> Column:
+    """P(F(d1, d2) > f) as a column expression: the incomplete beta function by its continued fraction.
+
+    The fraction is iterated (modified Lentz) inside an aggregate over the step numbers, and stands
+    still once it has settled. NaN without degrees of freedom.
+    """
+    d1, d2 = d1.cast("double"), d2.cast("double")
+    a0, b0 = d2 / 2, d1 / 2
+    x0 = d2 / (d2 + d1 * f)
+    swap = x0 >= (a0 + 1) / (a0 + b0 + 2)
+    at = F.struct(F.when(swap, b0).otherwise(a0).alias("a"), F.when(swap, a0).otherwise(b0).alias("b"),
+                  F.when(swap, d1 * f / (d2 + d1 * f)).otherwise(x0).alias("x"))
+    tiny = 1e-300
+
+    def safe(v):
+        return F.when(F.abs(v) < tiny, F.lit(tiny)).otherwise(v)
+
+    def one(state, term):
+        d = 1 / safe(1 + term * state["d"])
+        c = safe(1 + term / state["c"])
+        return F.struct(state["a"].alias("a"), state["b"].alias("b"), state["x"].alias("x"), c.alias("c"), d.alias("d"),
+                        (state["h"] * d * c).alias("h"), (F.abs(d * c - 1) < 1e-16).alias("still"))
+
+    def both(state, i):
+        # odd steps 2m + 1 and even steps 2m of the fraction
+        m = F.floor(i / 2).cast("double")
+        a, b, x = state["a"], state["b"], state["x"]
+        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        return F.when(state["still"], state).otherwise(one(state, F.when(i % 2 == 1, odd).otherwise(even)))
+    first = F.struct(at["a"].alias("a"), at["b"].alias("b"), at["x"].alias("x"), F.lit(1.0).alias("c"),
+                     (1 / safe(1 - (at["a"] + at["b"]) * at["x"] / (at["a"] + 1))).alias("d"),
+                     (1 / safe(1 - (at["a"] + at["b"]) * at["x"] / (at["a"] + 1))).alias("h"), F.lit(False).alias("still"))
+    a, b, x = at["a"], at["b"], at["x"]
+    front = F.exp(log_gamma(a + b) - log_gamma(a) - log_gamma(b) + a * F.log(x) + b * F.log1p(-x)) / a
+    value = F.aggregate(F.sequence(F.lit(2), F.lit(steps)), first, both, lambda s: s["h"])
+    tail = F.when(swap, 1 - front * value).otherwise(front * value)
+    return (F.when(f.isNull() | F.isnan(f) | (d1 <= 0) | (d2 <= 0), F.lit(float("nan"))).when(f == float("inf"), F.lit(0.0))
+            .when(f <= 0, F.lit(1.0)).otherwise(tail))
+
+
 def f_sf(f: float, d1: float, d2: float) -> float:
     """Upper tail P(F(d1, d2) > f)."""
     if f is None or d1 is None or d2 is None or math.isnan(f) or d1 <= 0 or d2 <= 0:

@@ -8,12 +8,10 @@ All work is grouping: (param, level) partial moments, then per param.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
-from panelcast.functions.stats import f_sf
+from panelcast.functions.stats import f_tail
 
 
 def long_levels(df: DataFrame, params, metric: str) -> DataFrame:
@@ -39,11 +37,6 @@ def level_means(df: DataFrame, params, metric: str) -> DataFrame:
                      F.row_number().over(w).alias("rank"))
 
 
-@F.pandas_udf(DoubleType())
-def _f_pvalue(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
-    return pd.Series([f_sf(a, b, c) for a, b, c in zip(f, d1, d2)], dtype="float64")
-
-
 def oneway_anova(df: DataFrame, params, metric: str, with_p: bool = True) -> DataFrame:
     """H-F: (param, k, n, f_stat, p_value); p from the F(k-1, n-k) upper tail."""
     st = level_stats(df, params, metric)
@@ -63,11 +56,7 @@ def oneway_anova(df: DataFrame, params, metric: str, with_p: bool = True) -> Dat
     out = g.select("param", k.cast("int").alias("k"), n.cast("long").alias("n"),
                    fstat.alias("f_stat"))
     if with_p:
-        f = F.col("f_stat")
-        tail = _f_pvalue(f, (F.col("k") - 1).cast("double"), (F.col("n") - F.col("k")).cast("double"))
-        # an infinite F leaves no tail; Arrow turns NaN into null, so it is put back
-        out = out.withColumn("p_value", F.when(f == float("inf"), F.lit(0.0))
-                             .when(F.isnan(f), F.lit(float("nan"))).otherwise(tail))
+        out = out.withColumn("p_value", f_tail(F.col("f_stat"), F.col("k") - 1, F.col("n") - F.col("k")))
     return out
 
 

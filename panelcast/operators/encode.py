@@ -77,6 +77,37 @@ def aligned_one_hot(splits: dict[str, DataFrame], col: str, drop_first: bool = T
     return out, names
 
 
+def fold_dummies(df: DataFrame, col: str, period: str, folds: DataFrame, drop_first: bool = True,
+                 prefix: str | None = None) -> DataFrame:
+    """P14/U2 for all expanding folds at once: (horizon, train_end, split, level, dummy, baseline, ones).
+
+    In each fold the splits train (period <= train_end), val and test are encoded apart, each
+    without its own first level, and then share the union of their columns; a column that a
+    split lacks is 0 there. `baseline` tells that the level is the split's own first one, whose rows are
+    0 in its column too; `ones` counts a split's rows with a 1. Everything follows from one aggregate:
+    which levels a period has. Its size is bounded by periods x levels; no loop runs over the folds.
+    """
+    prefix = prefix or col
+    seen = df.filter(F.col(col).isNotNull()).groupBy(F.col(period).alias("_p"), F.col(col).alias("level")).agg(
+        F.count(F.lit(1)).alias("_n"))
+    split = (F.when(F.col("_p") <= F.col("train_end"), F.lit("train")).when(F.col("_p") == F.col("val_period"), F.lit("val"))
+             .when(F.col("_p") == F.col("test_period"), F.lit("test")))
+    fold = ["horizon", "train_end"]
+    has = (folds.join(seen, (F.col("_p") <= F.col("train_end")) | (F.col("_p") == F.col("val_period"))
+                      | (F.col("_p") == F.col("test_period")))
+           .groupBy(*fold, split.alias("split"), "level").agg(F.sum("_n").alias("_n")))
+    first = has.groupBy(*fold, "split").agg(F.min("level").alias("_first"))
+    has = has.join(first, [*fold, "split"])
+    dropped = (F.col("level") == F.col("_first")) if drop_first else F.lit(False)
+    has = has.withColumn("baseline", dropped)
+    columns = has.filter(~F.col("baseline")).select(*fold, "level").distinct()
+    grid = columns.join(first.select(*fold, "split"), fold)
+    out = grid.join(has.select(*fold, "split", "level", "baseline", "_n"), [*fold, "split", "level"], "left")
+    absent = F.coalesce("baseline", F.lit(False))
+    return out.select(*fold, "split", "level", F.concat(F.lit(f"{prefix}_"), F.col("level").cast("string")).alias("dummy"),
+                      absent.alias("baseline"), F.when(absent, 0).otherwise(F.coalesce("_n", F.lit(0))).cast("long").alias("ones"))
+
+
 def class_weight_column(df: DataFrame, label: str, scheme, out: str = "w") -> DataFrame:
     """M8: per-row weight for a class-weight scheme.
 

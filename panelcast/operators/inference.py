@@ -1,17 +1,16 @@
 """Binary-response inference: logit / probit coefficient tables.
 
-The fit is MLlib's GeneralizedLinearRegression (IRLS, one distributed
-pass per iteration).  Standard errors are assembled from matrix sums: each
-task adds up x w x' over its rows, and the sums meet by matrix cell.
+The rows are first summed to weighted cells (equal label, features and cluster: one partial
+aggregate in the JVM), so a discrete design is fitted on its few cells and no key of the
+design is hot. The fit is one problem of `batch_fit`; its curvature at the solution is the
+observed information (for the logit link also the expected one).
 
-  bread  B = (X' W X)^-1      W: the observed information (for the logit link
-                               it equals the expected one)
+  bread  B = (X' W X)^-1      W: the observed information
   meat   M = sum_g s_g s_g'   s_g = per-cluster score sums (groupBy cluster)
   V = B, or G/(G-1) * (n-1)/(n-k) * B M B with clusters
 
-Constant and collinear columns cannot be estimated: the later one of a
-dependent set is dropped and reported with null estimates.  Only k x k
-matrices (k = number of terms) reach the driver.
+Constant and collinear columns cannot be estimated: the later one of a dependent set is
+dropped and reported with null estimates. Only k x k matrices (k = number of terms) reach the driver.
 """
 
 from __future__ import annotations
@@ -20,57 +19,34 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GeneralizedLinearRegression
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
 from panelcast.functions.stats import Z_975, norm_sf2
-from panelcast.session import spread
+from panelcast.operators import batch_fit as BF
+from panelcast.operators.formula import design
 
 TABLE_SCHEMA = StructType([
     StructField("term", StringType()), StructField("coef", DoubleType()),
     StructField("std_err", DoubleType()), StructField("z", DoubleType()),
     StructField("p_value", DoubleType()), StructField("ci_low", DoubleType()),
-    StructField("ci_high", DoubleType())])
+    StructField("ci_high", DoubleType()), StructField("converged", BooleanType())])
 
 CONST = "const"
 
 
 @dataclass
 class GlmFit:
-    model: object
     table: DataFrame
     terms: list[str]
-    data: DataFrame  # assembled input (label, features vector, ...)
-    base: DataFrame  # what it persists: unpersist when done
+    rows: DataFrame    # the persisted weighted cells
+    scored: DataFrame  # the same with _p (fitted probability) and _u (weighted score factor)
+    converged: bool
 
-
-def gram(df: DataFrame, cols: list[str], weight: str | None = None) -> np.ndarray:
-    """sum of w x x' over the rows, for the columns x.
-
-    One k x k partial sum per task (numpy on Arrow batches), then a grouped sum per cell:
-    the plan does not grow with the columns.
-    """
-    k = len(cols)
-    at_i, at_j = np.triu_indices(k)
-
-    def partial(batches):
-        total = np.zeros((k, k))
-        for pdf in batches:
-            x = pdf.iloc[:, :k].to_numpy(dtype=float)
-            w = pdf.iloc[:, k].to_numpy(dtype=float)
-            total += (x * w[:, None]).T @ x
-        yield pd.DataFrame({"i": at_i.astype("int32"), "j": at_j.astype("int32"), "v": total[at_i, at_j]})
-    w = F.col(weight) if weight else F.lit(1.0)
-    rows = df.select(*[F.col(f"`{c}`").cast("double").alias(f"_g{i}") for i, c in enumerate(cols)],
-                     w.cast("double").alias("_gw"))
-    out = np.zeros((k, k))
-    for r in rows.mapInPandas(partial, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).collect():
-        out[r["i"], r["j"]] = out[r["j"], r["i"]] = r["v"]
-    return out
+    def release(self) -> None:
+        self.rows.unpersist()
 
 
 def independent(m: np.ndarray, tol: float = 1e-9) -> list[int]:
@@ -86,14 +62,29 @@ def independent(m: np.ndarray, tol: float = 1e-9) -> list[int]:
     return kept
 
 
-def _row_weights(link: str, y, p, eta):
-    """(W, u): observed-information weight and score factor of each row for the given link."""
-    if link == "logit":
-        return p * (1 - p), (y - p)
-    phi = F.exp(-eta * eta / 2) / math.sqrt(2 * math.pi)
-    # of a row's own outcome: lambda = q phi / P(outcome), q = 2y - 1
-    lam = F.when(y == 1, phi / p).otherwise(-phi / (1 - p))
-    return lam * (lam + eta), lam
+def product_sums(rows: DataFrame, cols: list[str]) -> np.ndarray:
+    """sum of s s' over the rows, for the columns s: products exploded and summed by cell in the JVM."""
+    k = len(cols)
+    every = rows.select(F.array(*[F.col(f"`{c}`").cast("double") for c in cols]).alias("_s"))
+    one = every.select(F.posexplode("_s").alias("i", "_a"), "_s").filter("_a <> 0")
+    two = one.select("i", F.posexplode(F.transform("_s", lambda x: x * F.col("_a"))).alias("j", "v"))
+    out = np.zeros((k, k))
+    for r in two.groupBy("i", "j").agg(F.sum("v").alias("v")).collect():
+        out[r["i"], r["j"]] = r["v"]
+    return out
+
+
+def _scored(beta: np.ndarray, width: int, link: str):
+    def run(batches):
+        for batch in batches:
+            x, y, w = BF._matrix(batch, width), batch.column(width).to_numpy(), batch.column(batch.num_columns - 1).to_numpy()
+            t = x @ beta
+            sign = np.where(y > 0.5, 1.0, -1.0)
+            _, slope, _ = BF.loss_terms(link, sign * t)
+            p = BF.loss_terms("logit", -t)[1] if link == "logit" else np.exp(-BF.loss_terms(link, t)[0])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array(w * sign * slope)],
+                                             [*batch.schema.names, "_p", "_u"])
+    return run
 
 
 def fit_binary_glm(df: DataFrame, label: str, features: list[str], fit_intercept: bool = True,
@@ -101,48 +92,54 @@ def fit_binary_glm(df: DataFrame, label: str, features: list[str], fit_intercept
                    max_iter: int = 100, keep: tuple[str, ...] = ()) -> GlmFit:
     """M1 (logit), M4 (no constant), M5 (probit), M2 (cluster-robust when ``cluster``).
 
-    ``keep`` names extra columns carried in ``GlmFit.data`` (e.g. a group key
-    for fitted-value summaries).
+    ``keep`` names extra columns carried in ``GlmFit.scored`` (e.g. a group key for fitted-value
+    summaries). ``converged`` in the table tells whether the slope per row came below ``tol``.
     """
-    cols = list(dict.fromkeys([label, *features, *([cluster] if cluster else []), *keep]))
-    base = df.select(*[F.col(f"`{c}`") for c in cols]).withColumn(label, F.col(label).cast("double"))
-    base = spread(base.withColumn(CONST, F.lit(1.0)) if fit_intercept else base)
-    every = ([CONST] if fit_intercept else []) + list(features)
-    terms = [every[i] for i in independent(gram(base, every))]
-    used = [t for t in terms if t != CONST or not fit_intercept]
-    data = VectorAssembler(inputCols=used, outputCol="_x").transform(base)
-    glm = GeneralizedLinearRegression(family="binomial", link=link, fitIntercept=fit_intercept,
-                                      regParam=0.0, tol=tol, maxIter=max_iter, featuresCol="_x",
-                                      labelCol=label, predictionCol="_p", linkPredictionCol="_eta")
-    if used:
-        model = glm.fit(data)
-        beta = ([float(model.intercept)] if fit_intercept else []) + [float(v) for v in model.coefficients]
-    else:
+    extra = tuple(dict.fromkeys([*([cluster] if cluster else []), *keep]))
+    rows = BF.kept(BF.cells(df, features, label, group=True, extra=extra))
+    every = [CONST, *features]
+    plain = rows.select(*[f"_x{i}" for i in range(len(features))], "_y", "_key", "_w")
+    flat = BF.Problem(active=(False,) * len(every))
+    gram = BF.solve(plain, features, [flat], link, tol, 1, curvature=True).curvature
+    first = 0 if fit_intercept else 1
+    used = [first + i for i in independent(gram[first:, first:])] if gram is not None else []
+    if not [i for i in used if i > 0]:
         raise ValueError("no column varies: there is nothing to estimate")
-    k = len(terms)
-    w, u = _row_weights(link, F.col(label), F.col("_p"), F.col("_eta"))
-    carry = [F.col(f"`{t}`").cast("double").alias(f"_x{i}") for i, t in enumerate(terms)]
-    scored = model.transform(data).select(*([F.col(cluster).alias("_cluster")] if cluster else []),
-                                          w.alias("_w"), u.alias("_u"), *carry)
-    xs = [f"_x{i}" for i in range(k)]
-    cov = np.linalg.inv(gram(scored, xs, "_w"))
+    problem = BF.Problem(active=tuple(i in used for i in range(len(every))))
+    fits = BF.solve(plain, features, [problem], link, tol, max_iter, curvature=True)
+    beta, done = fits.beta[0], bool(fits.converged[0])
+    terms, k = [every[i] for i in used], len(used)
+    cov = np.linalg.inv(fits.curvature[np.ix_(used, used)])
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + ", _p double, _u double"
+    scored = rows.mapInArrow(_scored(beta, len(features), link), schema)
     if cluster is not None:
-        per_g = scored.groupBy("_cluster").agg(F.count(F.lit(1)).alias("_n"), *[F.sum(F.col("_u") * F.col(x)).alias(x) for x in xs])
+        xs = [F.lit(1.0) if i == 0 else F.col(f"_x{i - 1}") for i in used]
+        names = [f"_s{i}" for i in range(k)]
+        per_g = scored.groupBy(F.col(f"`{cluster}`").alias("_cluster")).agg(
+            F.sum("_w").alias("_n"), *[F.sum(F.col("_u") * x).alias(n) for x, n in zip(xs, names, strict=True)])
+        per_g = BF.kept(per_g)
         sizes = per_g.agg(F.count(F.lit(1)).alias("g"), F.sum("_n").alias("n")).first()
         g, n = sizes["g"], sizes["n"]
         corr = (g / (g - 1.0)) * ((n - 1.0) / (n - k)) if g > 1 and n > k else float("nan")
-        cov = corr * cov @ gram(per_g, xs) @ cov
+        cov = corr * cov @ product_sums(per_g, names) @ cov
+        per_g.unpersist()
     se = [math.sqrt(v) if v >= 0 else float("nan") for v in np.diag(cov)]
-    rows = []
-    for t, b, s in zip(terms, beta, se):
+    table = []
+    for i, t, s in zip(used, terms, se, strict=True):
+        b = float(beta[i])
         z = b / s if s else float("nan")
-        rows.append((t, b, float(s), z, norm_sf2(z), b - Z_975 * s, b + Z_975 * s))
-    rows += [(t, None, None, None, None, None, None) for t in every if t not in terms]
-    table = df.sparkSession.createDataFrame(rows, TABLE_SCHEMA)
-    return GlmFit(model=model, table=table, terms=terms, data=data, base=base)
+        table.append((t, b, float(s), z, norm_sf2(z), b - Z_975 * s, b + Z_975 * s, done))
+    table += [(t, *[None] * 6, done) for t in every[first:] if t not in terms]
+    return GlmFit(df.sparkSession.createDataFrame(table, TABLE_SCHEMA), terms, rows, scored, done)
+
+
+def formula_table(df: DataFrame, formula: str, cluster: str | None = None, **kw) -> DataFrame:
+    """M3: the coefficient table of a model formula, such as `y ~ C(kind) * x - 1`."""
+    d, names, f = design(df, formula, keep=(cluster,) if cluster else ())
+    return coefficient_table(d, f.label, names, fit_intercept=f.intercept, cluster=cluster, **kw)
 
 
 def coefficient_table(df: DataFrame, label: str, features: list[str], **kw) -> DataFrame:
     fit = fit_binary_glm(df, label, features, **kw)
-    fit.base.unpersist()
+    fit.release()
     return fit.table

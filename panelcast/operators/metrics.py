@@ -95,20 +95,25 @@ def _with_group(scores: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str
     return scores.withColumn(_ALL, F.lit(0)), [_ALL]
 
 
-def _score_counts(scores: DataFrame, keys: list[str], label: str, score: str) -> DataFrame:
+def _score_counts(scores: DataFrame, keys: list[str], label: str, score: str, weight: str | None = None) -> DataFrame:
     """One row per (keys, distinct score) with positives and rows at that score.
 
+    With ``weight`` a row stands for that many rows (a long).
+
     A row without a score fails the query: left out, it would change the metric in silence.
     """
     known = F.when(F.col(score).isNotNull(), F.col(score)).otherwise(
         F.raise_error(F.lit(f"null in the score column {score}")).cast(scores.schema[score].dataType))
     scores = scores.withColumn(score, known)
+    if weight:
+        return scores.groupBy(*keys, score).agg(
+            F.sum(F.col(label).cast("long") * F.col(weight)).alias("tp"), F.sum(weight).alias("n"))
     return scores.groupBy(*keys, score).agg(
         F.sum(F.col(label).cast("long")).alias("tp"), F.count(F.lit(1)).alias("n"))
 
 
 def average_precision(scores: DataFrame, keys: list[str], label: str = "y",
-                      score: str = "score", n_buckets: int = 1024) -> DataFrame:
+                      score: str = "score", n_buckets: int = 1024, weight: str | None = None) -> DataFrame:
     """AP = sum over distinct scores (descending) of (R_k - R_{k-1}) * P_k.
 
     No interpolation; tied scores form one threshold.  Groups without a
@@ -116,7 +121,7 @@ def average_precision(scores: DataFrame, keys: list[str], label: str = "y",
     """
     out_keys = list(keys)
     scores, keys = _with_group(scores, keys)
-    counts = _score_counts(scores, keys, label, score)
+    counts = _score_counts(scores, keys, label, score, weight)
     cum = desc_running_sums(counts, keys, score, ["tp", "n"], n_buckets)
     contrib = cum.withColumn("_c", F.col("tp") * F.col("cum_tp") / F.col("cum_n"))
     out = contrib.groupBy(*keys).agg(

@@ -21,10 +21,7 @@ from panelcast.operators import scale as S
 from panelcast.sources.fixture import (FEATURES, SENTINEL_COLUMN, SENTINEL_VALUE, SPEC,
                                        fixture_panel)
 
-# Split point of the aligned-dummy example and the score
-# columns treated as competing "models" in the metric queries.
-ALIGN_TRAIN_END = 13
-ALIGN_TEST_PERIOD = 14
+# The score columns treated as competing "models" in the metric queries.
 SCORE_MODELS = ("x1", "x2", "x5")
 
 
@@ -48,17 +45,10 @@ def dummies_kind(spark, sf_dir):
 
 
 def dummies_aligned(spark, sf_dir):
+    """The aligned columns of every expanding fold, and how many ones each split has in them."""
     c = clean(spark, sf_dir).select("unit", "period")
-    splits = {"train": c.filter(F.col("period") <= ALIGN_TRAIN_END),
-              "test": c.filter(F.col("period") == ALIGN_TEST_PERIOD)}
-    enc, names = E.aligned_one_hot(splits, "unit")
-    out = None
-    for k, d in enc.items():
-        long = d.groupBy().agg(*[F.sum(n).alias(n) for n in names]) \
-                .unpivot([], names, "dummy", "ones") \
-                .select(F.lit(k).alias("split"), "dummy", F.col("ones").cast("long").alias("ones"))
-        out = long if out is None else out.unionByName(long)
-    return out
+    folds = FO.expanding_folds(c, "period")
+    return E.fold_dummies(c, "unit", "period", folds).drop("level", "baseline")
 
 
 def interactions(spark, sf_dir):
@@ -262,10 +252,10 @@ def probit_saturated(spark, sf_dir):
     from panelcast.operators.inference import fit_binary_glm
     d, names = _kind_design(spark, sf_dir, drop_first=False)
     fit = fit_binary_glm(d, "y", names, fit_intercept=False, link="probit", keep=("kind",))
-    pred = fit.model.transform(fit.data)
-    out = cut_lineage(pred.groupBy("kind").agg(F.count(F.lit(1)).alias("n"),
-                                               rnd(F.avg("_p")).alias("fitted_p")))
-    fit.base.unpersist()
+    n = F.sum("_w")
+    out = cut_lineage(fit.scored.groupBy("kind").agg(n.cast("long").alias("n"),
+                                                     rnd(F.sum(F.col("_w") * F.col("_p")) / n).alias("fitted_p")))
+    fit.release()
     return out
 
 
@@ -304,6 +294,20 @@ def anova_f(spark, sf_dir):
     return a.select("param", "k", "n", rnd("f_stat", 4).alias("f_stat"))
 
 
+def anova_p(spark, sf_dir):
+    """H-F with its p-value, on a metric that the parameters move little, so that the tails are not nought."""
+    from panelcast.operators.anova import oneway_anova
+    a = oneway_anova(fixture_panel(spark, sf_dir), ANOVA_PARAMS, "x4")
+    return a.select("param", "k", "n", rnd("f_stat", 4).alias("f_stat"), rnd("p_value").alias("p_value"))
+
+
+def logit_formula(spark, sf_dir):
+    """M3: the coefficient table of a formula with a categorical factor, an interaction and no intercept."""
+    from panelcast.operators.inference import formula_table
+    d = clean(spark, sf_dir).select("y", "kind", (F.col("x2") > 0.05).cast("int").alias("hi"))
+    return _coef_cols(formula_table(d, "y ~ C(kind) + C(kind):hi - 1"))
+
+
 def level_means(spark, sf_dir):
     from panelcast.operators.anova import level_means as lm
     m = lm(fixture_panel(spark, sf_dir), ANOVA_PARAMS, "x1")
@@ -338,7 +342,9 @@ QUERIES.update({
     "logit_no_const": logit_no_const,
     "probit_coef": probit_coef,
     "coef_prefix_filter": coef_prefix_filter,
+    "logit_formula": logit_formula,
     "anova_f": anova_f,
+    "anova_p": anova_p,
     "level_means": level_means,
     "first_event": first_event,
     "cascade_lists": cascade_lists,
@@ -408,27 +414,80 @@ def holdout_kind(spark, sf_dir):
     return out.filter("metric <> 'fit_minutes'").select(label.alias("model"), "metric", rnd("value").alias("value"))
 
 
+def _grid_rows(spark, sf_dir):
+    d, names = E.one_hot(clean(spark, sf_dir).select("row_key", "y", "kind"), "kind")
+    folds = [({str(k) for k in range(10) if k != t}, {str(t)}) for t in range(10)]
+    return FO.stratified_kfold(d, "y", "row_key", k=10), names, folds
+
+
+def grid_logit(spark, sf_dir):
+    """Every distinct problem of the logistic space, 10 folds each, fitted together."""
+    from panelcast.operators import search as SE
+    from panelcast.plans.studies import LOGISTIC_SPACE
+    d, names, folds = _grid_rows(spark, sf_dir)
+    trials = SE.dedupe_logistic(SE.grid(LOGISTIC_SPACE), by_solver=True)
+    ap = SE.logistic_ap(SE.specs("logistic", trials), d, "fold", folds, names, group_rows=True, digits=SCORE_DIGITS, details=True)
+    mean = ap.groupBy("trial").agg(rnd(F.avg("ap")).alias("mean_ap"), F.max("residual").alias("residual"),
+                                   F.min(F.col("converged").cast("int")).cast("boolean").alias("converged"))
+    return SE.trials_frame(spark, trials).join(mean, "trial")
+
+
+def grid_logit_free(spark, sf_dir):
+    """The unpenalised problems of the logistic space, the AP of each on each of 10 folds."""
+    from panelcast.operators import search as SE
+    from panelcast.plans.studies import LOGISTIC_COMMON
+    d, names, folds = _grid_rows(spark, sf_dir)
+    trials = [{"penalty": None, "class_weight": w, "fit_intercept": i}
+              for w in LOGISTIC_COMMON["class_weight"] for i in LOGISTIC_COMMON["fit_intercept"]]
+    ap = SE.logistic_ap(SE.specs("logistic", trials), d, "fold", folds, names, group_rows=True, digits=SCORE_DIGITS)
+    named = [(i, "none" if t["class_weight"] is None else t["class_weight"] if t["class_weight"] == "balanced"
+              else str(t["class_weight"][1]), t["fit_intercept"]) for i, t in enumerate(trials)]
+    each = spark.createDataFrame(named, "trial int, scheme string, intercept boolean")
+    return ap.join(F.broadcast(each), "trial").select("scheme", "intercept", "fold", rnd("ap").alias("ap"), "n", "n_pos")
+
+
+def boost_stumps(spark, sf_dir):
+    """One boosted stump on the kind dummies for each setting of the regularisation, grown together."""
+    from panelcast.operators import batch_fit as BF
+    from panelcast.operators import hist_trees as HT
+    from panelcast.plans.studies import BOOST_SETTINGS
+    d, names = E.one_hot(clean(spark, sf_dir).select("y", "kind"), "kind", keep_source=True)
+    problems = [HT.TreeProblem(trees=1, depth=1, reg_lambda=lam, reg_alpha=alpha, min_child_weight=child, gamma=gamma,
+                               weights=(1.0, float(spw))) for lam, alpha, child, gamma, spw in BOOST_SETTINGS]
+    rows = BF.kept(BF.cells(d, names, "y", group=True))
+    grown = HT.fit(rows, names, problems)
+    grown.release()
+    rows.unpersist()
+    kinds, out = d.select("kind", *names).distinct(), None
+    for k in range(len(problems)):  # one branch per setting
+        s = HT.predict(kinds, grown.fits, ["kind"], k).select(F.lit(k).alias("setting"), "kind", rnd("score").alias("score"))
+        out = s if out is None else out.unionByName(s)
+    return out
+
+
 def forecast_gbt(spark, sf_dir):
-    """W3, h=10: boosted trees (20 rounds, depth 6) per fold."""
+    """W3, every horizon and fold: boosted trees at their defaults (100 rounds, depth 6), all folds fitted together."""
     from panelcast.plans.workflows import forecast
-    return forecast(_model_panel(spark, sf_dir), MODEL_FEATURES, horizons=(10,), models=("gbt_r20",))
+    return forecast(_model_panel(spark, sf_dir), MODEL_FEATURES, models=("gbt_default",))
 
 
 def holdout_models(spark, sf_dir):
-    """Logistic, random forest and boosted trees on the stratified 80/20 split."""
+    """Logistic, random forest and boosted trees at their defaults on the stratified 80/20 split."""
     from panelcast.plans.workflows import holdout_benchmark
-    return holdout_benchmark(_model_panel(spark, sf_dir), MODEL_FEATURES,
-                             models=("original", "rf_d10", "gbt_r20"))
+    return holdout_benchmark(_model_panel(spark, sf_dir), MODEL_FEATURES)
 
 
 def param_ftest(spark, sf_dir):
-    """8 seeded logistic trials, 3-fold AP, F test per parameter."""
+    """40 seeded logistic trials, 3-fold AP, F test per parameter."""
     from panelcast.plans.workflows import significance
-    ft, _, _ = significance(_model_panel(spark, sf_dir), MODEL_FEATURES, family="logistic", n_trials=8)
+    ft, _, _ = significance(_model_panel(spark, sf_dir), MODEL_FEATURES, family="logistic")
     return ft
 
 
 QUERIES.update({
+    "grid_logit": grid_logit,
+    "grid_logit_free": grid_logit_free,
+    "boost_stumps": boost_stumps,
     "forecast_logit": _forecast_kind("logit"),
     "forecast_rf": _forecast_kind("tree"),
     "forecast_gbt": forecast_gbt,

@@ -6,6 +6,7 @@ implementation of the same name in plans/catalog.py.
 
 from __future__ import annotations
 
+from panelcast.plans.studies import BOOST_SETTINGS
 from panelcast.sources.fixture import PANEL_SQL
 
 
@@ -39,6 +40,11 @@ def _folds(h: int) -> str:
 )"""
 
 
+def _all_folds() -> str:
+    every = ",\n".join(_folds(h).replace("folds AS", f"folds{h} AS") for h in (1, 5, 10))
+    return every + ",\nfolds AS (SELECT * FROM folds1 UNION ALL SELECT * FROM folds5 UNION ALL SELECT * FROM folds10)"
+
+
 FEATS = ("x1", "x2", "x3", "x4", "x5")
 
 
@@ -101,15 +107,16 @@ SELECT row_key, {", ".join(f"CAST(kind = '{k}' AS INT) AS kind_{k}"
 FROM clean""",
 
     "dummies_aligned": f"""{BASE},
-sp AS (SELECT CASE WHEN period <= 13 THEN 'train' ELSE 'test' END AS split, unit
-       FROM clean WHERE period <= 13 OR period = 14),
-lv AS (SELECT DISTINCT unit FROM sp),
-kept AS (SELECT unit FROM lv WHERE unit > (SELECT min(unit) FROM lv)),
-s AS (SELECT DISTINCT split FROM sp)
-SELECT s.split, 'unit_' || CAST(kept.unit AS VARCHAR) AS dummy,
-       CAST(count(sp.unit) AS BIGINT) AS ones
-FROM s CROSS JOIN kept LEFT JOIN sp ON sp.split = s.split AND sp.unit = kept.unit
-GROUP BY s.split, kept.unit""",
+{_all_folds()},
+sp AS (SELECT horizon, train_end, CASE WHEN period <= train_end THEN 'train' WHEN period = val_period THEN 'val'
+              ELSE 'test' END AS split, unit
+       FROM folds JOIN clean ON period <= train_end OR period = val_period OR period = test_period),
+fl AS (SELECT horizon, train_end, split, min(unit) AS first FROM sp GROUP BY ALL),
+cols AS (SELECT DISTINCT horizon, train_end, unit FROM sp JOIN fl USING (horizon, train_end, split) WHERE unit > first)
+SELECT horizon, train_end, split, 'unit_' || CAST(cols.unit AS VARCHAR) AS dummy,
+       CAST(count(sp.unit) FILTER (WHERE sp.unit > first) AS BIGINT) AS ones
+FROM cols JOIN fl USING (horizon, train_end) LEFT JOIN sp USING (horizon, train_end, split, unit)
+GROUP BY ALL""",
 
     "interactions": f"""{BASE}
 SELECT kind, count(*) AS n, {R("sum(x1 * x2)")} AS sum_x1_x2 FROM clean GROUP BY kind""",
@@ -314,14 +321,17 @@ t AS (SELECT 'const' AS term, ln(b0.p / (1 - b0.p)) AS coef, sqrt(1 / (b0.n * b0
              sqrt(1 / (b0.n * b0.p * (1 - b0.p)) + 1 / (b1.n * b1.p * (1 - b1.p))) FROM b0, b1)
 {_coef_select("t")}"""
 
-_ANOVA_LONG = f"""WITH panel AS ({PANEL_SQL}),
-l AS (SELECT 'kind' AS param, CAST(kind AS VARCHAR) AS level, x1 AS metric FROM panel
-      UNION ALL SELECT 'unit', CAST(unit AS VARCHAR), x1 FROM panel
-      UNION ALL SELECT 'x3', CAST(x3 AS VARCHAR), x1 FROM panel
-      UNION ALL SELECT 'x2', CAST(x2 AS VARCHAR), x1 FROM panel),
+def _anova_long(metric: str, recursive: str = "") -> str:
+    levels = "\n      UNION ALL ".join(f"SELECT '{c}' AS param, CAST({c} AS VARCHAR) AS level, {metric} AS metric FROM panel"
+                                      for c in ("kind", "unit", "x3", "x2"))
+    return f"""WITH {recursive}panel AS ({PANEL_SQL}),
+l AS ({levels}),
 st AS (SELECT param, level, count(*) AS n, avg(metric) AS mean, var_pop(metric) * count(*) AS m2
        FROM l WHERE level IS NOT NULL AND metric IS NOT NULL GROUP BY param, level)"""
 
+
+_ANOVA_LONG = _anova_long("x1")
+
 SQL["anova_f"] = f"""{_ANOVA_LONG},
 st2 AS (SELECT *, sum(n) OVER (PARTITION BY param) AS nn,
                sum(n * mean) OVER (PARTITION BY param) / sum(n) OVER (PARTITION BY param) AS grand FROM st)
@@ -430,3 +440,79 @@ i AS (SELECT item, CAST(dense_rank() OVER (ORDER BY item) - 1 AS INT) AS x FROM
 SELECT h.item, o.x AS other_index,
        CAST(row_number() OVER (PARTITION BY h.item ORDER BY o.x) - 1 AS INT) AS inner_fold
 FROM i h JOIN i o ON h.x <> o.x"""
+
+# Coefficients of y ~ C(kind) + C(kind):hi - 1 are the logits of the cells and their differences.
+SQL["logit_formula"] = f"""{BASE},
+h AS (SELECT kind, CAST(x2 > 0.05 AS INT) AS hi, count(*) AS n, avg(y) AS p FROM clean GROUP BY ALL),
+c AS (SELECT kind, hi, ln(p / (1 - p)) AS l, 1 / (n * p * (1 - p)) AS v FROM h),
+t AS (SELECT 'kind_' || kind AS term, l AS coef, sqrt(v) AS se FROM c WHERE hi = 0
+      UNION ALL
+      SELECT 'kind_' || a.kind || ':hi', b.l - a.l, sqrt(a.v + b.v) FROM c a JOIN c b ON a.kind = b.kind AND a.hi = 0 AND b.hi = 1)
+{_coef_select("t")}"""
+
+# The F tail is an incomplete beta function; its continued fraction is walked by a recursive query.
+SQL["anova_p"] = f"""{_anova_long("x4", "RECURSIVE ")},
+st2 AS (SELECT *, sum(n) OVER (PARTITION BY param) AS nn,
+               sum(n * mean) OVER (PARTITION BY param) / sum(n) OVER (PARTITION BY param) AS grand FROM st),
+g AS (SELECT param, CAST(count(*) AS INT) AS k, CAST(max(nn) AS BIGINT) AS n,
+             (sum(n * pow(mean - grand, 2)) / (count(*) - 1)) / (sum(m2) / (max(nn) - count(*))) AS f,
+             CAST(count(*) - 1 AS DOUBLE) AS d1, CAST(max(nn) - count(*) AS DOUBLE) AS d2 FROM st2 GROUP BY param),
+x AS (SELECT *, d2 / (d2 + d1 * f) >= (d2 / 2 + 1) / (d2 / 2 + d1 / 2 + 2) AS swap FROM g),
+ab AS (SELECT *, CASE WHEN swap THEN d1 / 2 ELSE d2 / 2 END AS a, CASE WHEN swap THEN d2 / 2 ELSE d1 / 2 END AS b,
+              CASE WHEN swap THEN d1 * f / (d2 + d1 * f) ELSE d2 / (d2 + d1 * f) END AS z FROM x),
+cf AS (SELECT param, a, b, z, 2 AS i, 1.0::DOUBLE AS c, 1 / (1 - (a + b) * z / (a + 1)) AS d, 1 / (1 - (a + b) * z / (a + 1)) AS h FROM ab
+       UNION ALL
+       SELECT param, a, b, z, i + 1, 1 + term / c, 1 / (1 + term * d), h * (1 + term / c) / (1 + term * d)
+       FROM (SELECT *, CASE WHEN i % 2 = 1 THEN -(a + i // 2) * (a + b + i // 2) * z / ((a + 2 * (i // 2)) * (a + 2 * (i // 2) + 1))
+                            ELSE (i // 2) * (b - i // 2) * z / ((a + i - 1) * (a + i)) END AS term FROM cf WHERE i < 600)),
+v AS (SELECT ab.*, exp(lgamma(ab.a + ab.b) - lgamma(ab.a) - lgamma(ab.b) + ab.a * ln(ab.z) + ab.b * ln(1 - ab.z)) / ab.a * cf.h AS tail
+      FROM ab JOIN cf ON cf.param = ab.param AND cf.i = 600)
+SELECT param, k, n, {R("f", 4)} AS f_stat, {R("CASE WHEN swap THEN 1 - tail ELSE tail END")} AS p_value FROM v"""
+
+# A free logistic model of the kind dummies returns the weighted share of positives of each kind, and one half for
+# the first kind where there is no intercept.
+SQL["grid_logit_free"] = f"""{BASE},
+r AS {_rank_sql("clean")},
+fd AS (SELECT kind, y, CAST((rk - 1) % 10 AS INT) AS fold FROM r),
+k AS (SELECT fold, kind, count(*) AS n, sum(y) AS s FROM fd GROUP BY ALL),
+a AS (SELECT kind, sum(n) AS n, sum(s) AS s FROM k GROUP BY kind),
+w AS (SELECT o.fold, sum(a.n - coalesce(k.n, 0)) AS n, sum(a.s - coalesce(k.s, 0)) AS s
+      FROM (SELECT DISTINCT fold FROM fd) o CROSS JOIN a LEFT JOIN k ON k.fold = o.fold AND k.kind = a.kind GROUP BY o.fold),
+sch AS (SELECT * FROM (VALUES ('none', 0.0), ('balanced', -1.0), {", ".join(f"('{v}', {v}.0)" for v in range(3, 11))}) t(scheme, v),
+        (VALUES (true), (false)) i(intercept)),
+km AS (SELECT sch.scheme, sch.intercept, w.fold, a.kind,
+              CASE WHEN NOT sch.intercept AND a.kind = (SELECT min(kind) FROM a) THEN 0.5 ELSE
+                   round(p1 * (a.s - coalesce(k.s, 0)) / (p1 * (a.s - coalesce(k.s, 0)) + p0 * (a.n - coalesce(k.n, 0) - a.s + coalesce(k.s, 0))), 6)
+              END AS score
+       FROM sch CROSS JOIN w CROSS JOIN a LEFT JOIN k ON k.fold = w.fold AND k.kind = a.kind,
+            LATERAL (SELECT CASE WHEN sch.v < 0 THEN w.n / (2.0 * w.s) WHEN sch.v = 0 THEN 1.0 ELSE sch.v END AS p1,
+                            CASE WHEN sch.v < 0 THEN w.n / (2.0 * (w.n - w.s)) ELSE 1.0 END AS p0) q),
+t AS (SELECT km.scheme, km.intercept, km.fold, fd.y, km.score FROM fd JOIN km ON km.fold = fd.fold AND km.kind = fd.kind),
+{_ap_sql("t", ["scheme", "intercept", "fold"])}
+SELECT scheme, intercept, fold, {R("ap")} AS ap, n, n_pos FROM ap"""
+
+
+def _stump_sql(settings) -> str:
+    rows = ", ".join(f"({i}, {lam}::DOUBLE, {alpha}::DOUBLE, {child}::DOUBLE, {gamma}::DOUBLE, {spw}::DOUBLE)"
+                     for i, (lam, alpha, child, gamma, spw) in enumerate(settings))
+
+    def part(g, h):
+        return f"pow(greatest(abs({g}) - alpha, 0), 2) / ({h} + lam)"
+
+    def leaf(g, h):
+        return f"1 / (1 + exp(0.3 * sign({g}) * greatest(abs({g}) - alpha, 0) / ({h} + lam)))"
+    return f"""{BASE},
+par AS (SELECT * FROM (VALUES {rows}) t(setting, lam, alpha, child, gamma, spw)),
+k AS (SELECT setting, lam, alpha, child, gamma, kind, sum((0.5 - y) * CASE WHEN y = 1 THEN spw ELSE 1 END) AS g,
+             sum(0.25 * CASE WHEN y = 1 THEN spw ELSE 1 END) AS h FROM clean CROSS JOIN par GROUP BY ALL),
+a AS (SELECT *, sum(g) OVER w AS tg, sum(h) OVER w AS th, kind = min(kind) OVER w AS base FROM k WINDOW w AS (PARTITION BY setting)),
+c AS (SELECT *, {part("tg - g", "th - h")} + {part("g", "h")} - {part("tg", "th")} AS gain FROM a),
+b AS (SELECT setting, arg_max(kind, gain) AS best FROM c
+      WHERE NOT base AND least(h, th - h) >= child AND gain > greatest(gamma, 1e-6) GROUP BY setting),
+v AS (SELECT c.*, b.best, sum(CASE WHEN kind = best THEN g END) OVER w AS bg, sum(CASE WHEN kind = best THEN h END) OVER w AS bh
+      FROM c LEFT JOIN b USING (setting) WINDOW w AS (PARTITION BY c.setting))
+SELECT setting, kind, {R(f"CASE WHEN best IS NULL THEN {leaf('tg', 'th')} WHEN kind = best THEN {leaf('bg', 'bh')} ELSE {leaf('(tg - bg)', '(th - bh)')} END")} AS score
+FROM v"""
+
+
+SQL["boost_stumps"] = _stump_sql(BOOST_SETTINGS)

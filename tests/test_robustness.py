@@ -63,11 +63,15 @@ def test_trials_of_a_union_and_log_uniform_ranges():
 
 
 def test_unsupported_parameters_are_named_and_left_out(spark):
-    spec = MD.ModelSpec.of("rf", n_estimators=5, ccp_alpha=0.1, criterion="entropy", max_depth=50)
-    assert spec.unsupported() == ["ccp_alpha", "criterion", "max_depth"]
+    spec = MD.ModelSpec.of("rf", n_estimators=5, max_depth=50)
+    assert spec.unsupported() == ["max_depth"]
     assert spec.effective().p() == {"n_estimators": 5, "max_depth": 30}
-    same = MD.ModelSpec.of("rf", n_estimators=5, ccp_alpha=0.9, max_depth=30)
-    assert same.effective() == spec.effective()
+    own = MD.ModelSpec.of("rf", n_estimators=5, ccp_alpha=0.1, criterion="entropy", max_depth=50)
+    assert own.unsupported() == [] and own.effective() == own
+    gbt = MD.ModelSpec.of("gbt", n_estimators=5, tree_method="exact", eval_metric="auc", booster="dart")
+    assert gbt.unsupported() == ["eval_metric", "tree_method"] and gbt.effective().p() == {"n_estimators": 5}
+    assert MD.ModelSpec.of("logistic", C=1.0, solver="saga").effective() == MD.ModelSpec.of("logistic", C=1.0)
+    assert MD.ModelSpec.of("logistic", C=1.0, solver="liblinear").effective() != MD.ModelSpec.of("logistic", C=1.0)
     tf = SE.trials_frame(spark, [{"a": 1}, {"a": 2}], [0.1, 0.2], [["x"], []])
     assert [(r.trial, r.a, r.unsupported) for r in tf.orderBy("trial").collect()] == [(0, "1", "x"), (1, "2", "")]
 
