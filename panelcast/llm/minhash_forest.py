@@ -15,10 +15,9 @@
    formed; then all trees with a longer reach, but only pairs of different components. Links
    inside a component cannot change the result, so the second round is short where the data
    are dense, and looks hard at whatever is not linked yet.
-5. A last round meets what a reach cannot: in each region of each tree all rows of different
-   components, however many stand between them, but for the pairs that were tested before.
-   Regions of more than TILE rows are dealt over tasks; rows of a region's largest component
-   meet only the rows outside it, so a large group costs no pairs of its own.
+5. A last round completes what a reach cannot: the documents of regions with more rows than the
+   reach covers and more than one component go through `rare_links`, which splits sets into what
+   the crowd shares and what is their own and finds all their links without testing all pairs.
 
 Two documents of similarity 0.75 share the first 4 labels of at least one of 32 trees with
 probability 1 - 5e-6, and pass the test of the labels behind them with 1 - 3e-5; more
@@ -35,6 +34,7 @@ from pyspark.sql import functions as F
 
 from panelcast.llm.common import rows_in_slices, shuffle_width, table
 from panelcast.llm.components import components
+from panelcast.llm.rare_links import OFTEN, rare_links
 from panelcast.session import cut_lineage
 
 WIDTH, TREES, LABELS = 5, 32, 4
@@ -42,8 +42,6 @@ SIGNATURE = TREES * LABELS
 #: Trees and reach of each round.
 ROUNDS = ((6, 1), (TREES, 8))
 ALIKE = 5
-#: Rows of a region that one task of the last round holds (of each side).
-TILE = 4096
 #: A class or set with more than 1 / HEAVY of all rows is joined by broadcast: HEAVY rows at most.
 HEAVY = 2048
 FILTER_BITS = 1 << 23
@@ -178,102 +176,29 @@ def candidates(classes: DataFrame, trees: int, reach: int) -> DataFrame:
     return rows.mapInArrow(_neighbours(reach), "a long, b long").distinct()
 
 
-def _crossings():
-    """Pairs of different components in each run of equal (_region, _i, _j); the tests of `_neighbours`.
-
-    Where _i and _j differ, only pairs of one row of each side.
-    """
-    def pairs_of(rows):
-        i, j, deeper, node, n, comp, side = rows
-        if len(node) < 2 or (comp == comp[0]).all():
-            return
-        order = np.argsort(comp, kind="stable")
-        deeper, node, n, comp, side = (x[order] for x in (deeper, node, n, comp, side))
-        later = np.searchsorted(comp, comp, "right")  # the first row of a later component
-        whole = (i[0] == j[0]) and not side.any()
-        step = max(1, (1 << 20) // len(node))
-        for at in range(0, len(node), step):
-            upto = min(len(node), at + step)
-            counts = len(node) - later[at:upto]
-            a = np.repeat(np.arange(at, upto), counts)
-            b = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(later[at:upto], counts)
-            good = 100 * np.minimum(n[a], n[b]) >= 75 * np.maximum(n[a], n[b])
-            if not whole:
-                good &= side[a] != side[b]
-            a, b = a[good], b[good]
-            good = ((deeper[a] ^ deeper[b]).view(np.uint8).reshape(-1, 8) == 0).sum(1) >= ALIKE
-            a, b = a[good], b[good]
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[a], node[b])),
-                                                  pa.array(np.maximum(node[a], node[b]))], ["a", "b"])
-
-    def run(batches):
-        kept = None
-        for batch in batches:
-            now = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(8)]
-            rows = now if kept is None else [np.concatenate(x) for x in zip(kept, now, strict=True)]
-            if not len(rows[0]):
-                continue
-            new = np.flatnonzero((rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1]) | (rows[2][1:] != rows[2][:-1])) + 1
-            bounds = np.concatenate(([0], new))
-            for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
-                if hi - lo > 1:
-                    yield from pairs_of([x[lo:hi] for x in rows[1:]])
-            kept = [x[bounds[-1]:] for x in rows]
-        if kept is not None:
-            yield from pairs_of(kept[1:])
-    return run
+def crowded(classes: DataFrame, trees: int, reach: int) -> DataFrame:
+    """(_id) of the classes in regions of more rows than the reach covers, and of more than one component."""
+    rows = classes.select("_rep", "_n", "_sig", "_comp").mapInArrow(
+        _orders(trees), "_region long, _deeper long, _node long, _n long, _comp long").select("_region", "_node", "_comp")
+    parts = rows.groupBy("_region").agg(F.count(F.lit(1)).alias("_all"), F.min("_comp").alias("_a"), F.max("_comp").alias("_b"))
+    parts = parts.filter((F.col("_all") > reach + 1) & (F.col("_a") != F.col("_b")))
+    return rows.join(parts.select("_region"), "_region", "left_semi").select(F.col("_node").alias("_id")).distinct()
 
 
-def crossings(classes: DataFrame, trees: int, tile: int = TILE) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of different components that share a region, whatever stands between them."""
-    rows = classes.select("_rep", "_n", "_sig", "_comp").mapInArrow(
-        _orders(trees), "_region long, _deeper long, _node long, _n long, _comp long")
-    # crowded regions: at most rows / tile of them
-    parts = rows.groupBy("_region", "_comp").agg(F.count(F.lit(1)).alias("_k"))
-    crowded = (parts.groupBy("_region").agg(F.sum("_k").alias("_all"), F.max(F.struct("_k", "_comp")).alias("_top"))
-               .filter(F.col("_all") > tile)
-               .select("_region", F.col("_top._comp").alias("_main"),
-                       F.ceil(F.col("_top._k") / tile).cast("int").alias("_mains"),
-                       F.ceil((F.col("_all") - F.col("_top._k")) / tile).cast("int").alias("_others")))
-    rows = rows.join(F.broadcast(crowded), "_region", "left")
-    # blocks: -1 the whole region; others against others (i <= j); others against the main component (j counts on)
-    spot = F.xxhash64("_node")
-    main = F.col("_comp") == F.col("_main")
-    mine = F.when(main, F.pmod(spot, F.col("_mains"))).otherwise(F.pmod(spot, F.col("_others"))).cast("int")
-    block = F.struct(F.lit(-1).alias("i"), F.lit(-1).alias("j"), F.lit(False).alias("s"))
-    low, none = F.lit(0), F.array().cast("array<struct<i:int,j:int,s:boolean>>")
-
-    def upto(n, make):
-        return F.when(n > 0, F.transform(F.sequence(low, F.greatest(n - 1, low)), make)).otherwise(none)
-
-    def of(i, j, s):
-        return F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), s.alias("s"))
-    rows = rows.withColumn("_mine", mine)
-    me = F.col("_mine")
-    to_others = upto(F.col("_others"), lambda k: of(F.least(me, k), F.greatest(me, k), me > k))
-    to_main = upto(F.col("_mains"), lambda k: of(me, F.col("_others") + k, F.lit(False)))
-    from_main = upto(F.col("_others"), lambda k: of(k, F.col("_others") + me, F.lit(True)))
-    blocks = (F.when(F.col("_main").isNull(), F.array(block))
-              .when(main, from_main).otherwise(F.concat(to_others, to_main)))
-    rows = rows.withColumn("_b", F.explode(blocks)).select(
-        "_region", F.col("_b.i").alias("_i"), F.col("_b.j").alias("_j"), "_deeper", "_node", "_n", "_comp",
-        F.col("_b.s").alias("_side"))
-    rows = (rows.repartition(shuffle_width(classes.sparkSession), "_region", "_i", "_j")
-            .sortWithinPartitions("_region", "_i", "_j"))
-    return rows.mapInArrow(_crossings(), "a long, b long").distinct()
-
-
-def _sets_of(wanted):
+def _sets_of(wanted, listed: bool = False):
+    """Shingle sets of the rows whose id may be wanted, as bytes or as lists of longs."""
     def run(batches):
         bits = wanted.value
         for part in rows_in_slices(batches):
             ids, spot = part.column(0), part.column(2).to_numpy(zero_copy_only=False)
             take = np.flatnonzero(bits[spot >> 3] >> (spot & 7).astype(np.uint8) & 1)
             texts = part.column(1).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [ids.take(pa.array(take)),
-                 pa.array([shingle_set(texts[int(k)].as_py()).tobytes() for k in take], pa.binary())], ["_id", "_s"])
+            sets = [shingle_set(texts[int(k)].as_py()) for k in take]
+            if listed:
+                sets = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
+            else:
+                sets = pa.array([s.tobytes() for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(take)), sets], ["_id", "_s"])
     return run
 
 
@@ -312,20 +237,34 @@ def _confirm(batches):
         yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], ["a", "b"])
 
 
+def sets_of(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str, listed: bool = False) -> DataFrame:
+    """(_id, _s): shingle sets of the rows with one of the ids, and of a few others."""
+    bits = docs.sparkSession.sparkContext.broadcast(id_filter(ids))
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).filter("_id IS NOT NULL")
+    return rows.withColumn("_spot", _spot("_id")).mapInArrow(
+        _sets_of(bits, listed), "_id long, _s " + ("array<long>" if listed else "binary"))
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The pairs whose full shingle sets have 100 * intersection >= 75 * union."""
-    spark = docs.sparkSession
     ends = pairs.select(F.col("a").alias("_id")).unionByName(pairs.select(F.col("b").alias("_id")))
-    bits = spark.sparkContext.broadcast(id_filter(ends))
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).filter("_id IS NOT NULL")
-    rows = rows.withColumn("_spot", _spot("_id"))
-    sets = rows.mapInArrow(_sets_of(bits), "_id long, _s binary")
+    sets = sets_of(ends, docs, id_col, text_col)
     both = (pairs.join(sets.select(F.col("_id").alias("a"), F.col("_s").alias("_x")), "a")
             .join(sets.select(F.col("_id").alias("b"), F.col("_s").alias("_y")), "b"))
     return both.select("a", "b", "_x", "_y").mapInArrow(_confirm, "a long, b long").distinct()
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def crowd_links(joined: DataFrame, docs: DataFrame, id_col: str, text_col: str, often: int) -> DataFrame:
+    """Links between components in the crowded regions of the last round's forest."""
+    trees, reach = ROUNDS[-1]
+    ids = cut_lineage(crowded(joined, trees, reach))
+    comps = joined.groupBy(F.col("_rep").alias("_id")).agg(F.min("_comp").alias("_comp")).join(ids, "_id", "left_semi")
+    items = sets_of(ids, docs, id_col, text_col, listed=True).join(comps, "_id")
+    items = items.filter(F.size("_s") > 0)
+    return rare_links(items.select("_id", F.size("_s").cast("long").alias("_n"), "_comp", F.col("_s").alias("_t")), often)
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", often: int = OFTEN) -> DataFrame:
     """One row per input row: <id_col>, n_shingles, component_id, kept.
 
     Null, empty and wordless texts have no shingles and are linked with nothing: they are
@@ -333,7 +272,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     component_id is null and they are kept. Rows of equal sets stand under their smallest
     id; where rows repeat an id with other texts, sets under the same id count as linked. Ties
     cannot occur, since the smallest id decides. An empty table gives an empty result; other
-    columns, whatever their names, are ignored.
+    columns, whatever their names, are ignored. `often` steers the work in crowded regions, not
+    the result.
     """
     rows = cut_lineage(sketches(docs, id_col, text_col))
     full = rows.filter("_n > 0 AND _id IS NOT NULL")
@@ -341,23 +281,21 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                                        F.count(F.lit(1)).alias("_size"))
     classes = cut_lineage(classes.select("_set", "_size", F.col("_r._id").alias("_rep"), F.col("_r._n").alias("_n"),
                                          F.col("_r._sig").alias("_sig")))
-    found, tested = None, None
-    for trees, reach in (*ROUNDS, (TREES, None)):
+    def with_components(found):
         if found is None:
-            joined, stars = classes.withColumn("_comp", F.col("_rep")), None
-        else:
-            joined = (classes.join(found, classes["_rep"] == found["node"], "left")
-                      .withColumn("_comp", F.coalesce("component", "_rep")).drop("node", "component"))
-            stars = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
-        if reach is None:
-            pairs = cut_lineage(crossings(joined, trees).join(tested, ["a", "b"], "left_anti"))
-            if pairs.isEmpty():
-                break
-        else:
-            pairs = cut_lineage(candidates(joined, trees, reach))
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        links = confirmed(pairs, docs, id_col, text_col)
-        found = cut_lineage(components(links if stars is None else stars.unionByName(links)))
+            return classes.withColumn("_comp", F.col("_rep"))
+        return (classes.join(found, classes["_rep"] == found["node"], "left")
+                .withColumn("_comp", F.coalesce("component", "_rep")).drop("node", "component"))
+
+    def joined_by(links, found):
+        if found is not None:
+            links = links.unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        return cut_lineage(components(links))
+    found = None
+    for trees, reach in ROUNDS:
+        pairs = cut_lineage(candidates(with_components(found), trees, reach))
+        found = joined_by(confirmed(pairs, docs, id_col, text_col), found)
+    found = joined_by(crowd_links(cut_lineage(with_components(found)), docs, id_col, text_col, often), found)
 
     verdict = (classes.select("_set", "_size", "_rep").join(found, F.col("_rep") == F.col("node"), "left")
                .select("_set", "_size", F.coalesce("component", "_rep").alias("component_id")))
@@ -379,7 +317,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` that stay: one document of each group, with all columns."""
     kept = near_dedup(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias("_kept_id")).distinct()
-    return docs.join(kept.hint("shuffle_hash"), docs[id_col].eqNullSafe(kept["_kept_id"]), "left_semi")
+    return docs.join(kept, docs[id_col].eqNullSafe(kept["_kept_id"]), "left_semi")
 
 
 def op1_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:

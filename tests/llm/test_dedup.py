@@ -5,6 +5,8 @@ import re
 import pytest
 
 from panelcast.llm import components, exact_dedup, minhash_forest
+from panelcast.llm import rare_links as rare_links_module
+from panelcast.llm.rare_links import rare_links
 
 
 def normal(text):
@@ -46,6 +48,9 @@ def test_drop_copies_keeps_columns_and_first_rows(frame):
     kept = exact_dedup.drop_copies(docs)
     assert kept.columns == docs.columns
     assert {r.doc_id for r in kept.collect()} == {3, 4, None}
+    again = frame([(7, "a b", "en", "s")] * 3 + [(7, "other", "en", "s"), (8, "a  b", "en", "s"), (None, "x", "en", "s"), (None, "x", "en", "s")])
+    assert sorted(((r.doc_id or 0), r.text) for r in exact_dedup.drop_copies(again).collect()) == [
+        (0, "x"), (0, "x"), (7, "a b"), (7, "other")]
 
 
 def test_empty_tables(frame):
@@ -176,9 +181,69 @@ def test_members_of_a_crowded_region_that_link_to_one_row(spark, frame):
     assert sorted((tuple(r) for r in got), key=repr) == want
 
 
-def test_crossings_do_not_depend_on_the_tile(spark, frame):
-    rows = minhash_forest.sketches(frame([(i, t, "en", "s") for i, t in template_rows()]), "doc_id", "text")
-    classes = rows.selectExpr("_id AS _rep", "_n", "_sig", "CASE WHEN _id < 400 THEN 10 ELSE _id END AS _comp").localCheckpoint()
-    whole = {tuple(r) for r in minhash_forest.crossings(classes, 6).collect()}
-    assert whole and {tuple(r) for r in minhash_forest.crossings(classes, 6, tile=25).collect()} == whole
-    assert all(a < b and b >= 400 for a, b in whole)
+def test_links_do_not_depend_on_what_is_common(spark, frame):
+    rows = template_rows()[:200] + near_rows()
+    docs = frame([(i, t, "en", "s") for i, t in rows]).repartition(5)
+    want = brute_near(rows)
+    for often in (2, 9):
+        assert sorted((tuple(r) for r in minhash_forest.near_dedup(docs, often=often).collect()), key=repr) == want
+
+
+def overlap_links(sets, comps):
+    return {(a, b) for a in sets for b in sets if a < b and comps[a] != comps[b]
+            and 7 * len(sets[a] & sets[b]) >= 3 * (len(sets[a]) + len(sets[b]))}
+
+
+def joined(comps, links):
+    root = {c: c for c in comps.values()}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+    for a, b in links:
+        a, b = find(comps[a]), find(comps[b])
+        root[max(a, b)] = min(a, b)
+    return {k: find(c) for k, c in comps.items()}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_rare_links_join_what_all_pairs_join(spark, seed):
+    """Sets made of shared passages, tails of their own and edits, most of them near the threshold."""
+    rng = random.Random(seed)
+    passages = [list(range(1000 * p, 1000 * p + rng.choice((20, 40, 60)))) for p in range(1, 5)]
+    sets, fresh = {}, 10**6
+    for k in range(220):
+        own = set()
+        for p in rng.sample(passages, rng.choice((1, 1, 2, 2, 3))):
+            cut = rng.choice((0, 0, 0, 1, 3, 6))
+            own |= set(p[cut:])
+        if rng.random() < 0.3 and k:
+            own |= set(rng.sample(sorted(sets[rng.randrange(k)]), 5))
+        for _ in range(int(len(own) * rng.choice((0, 0.1, 0.15, 0.2, 0.25, 0.3, 0.5)))):
+            own.add(fresh)
+            fresh += 1
+        sets[k] = own
+    comps = {k: k for k in sets}
+    for k in range(0, 220, 3):  # some are joined already, rightly or not
+        comps[k] = comps[rng.randrange(k + 1)]
+    items = spark.createDataFrame([(k, len(s), comps[k], sorted(s)) for k, s in sets.items()],
+                                  "_id long, _n long, _comp long, _t array<long>")
+    for often in (1, 4):
+        got = {tuple(r) for r in rare_links(items, often).collect()}
+        every = overlap_links(sets, {k: k for k in sets})
+        assert {(min(p), max(p)) for p in got} <= every
+        assert joined(comps, got) == joined(comps, overlap_links(sets, comps))
+
+
+def test_pairs_grow_with_the_rows_of_a_template(spark):
+    """Texts of one template that are not alike: what is looked at grows with them, not with their square."""
+    def seen(n):
+        rng = random.Random(2)
+        rows = [(k, 196, k, sorted([*range(156), *(10**6 + 40 * k + t for t in range(40))])) for k in range(n)]
+        rng.shuffle(rows)
+        items = spark.createDataFrame(rows, "_id long, _n long, _comp long, _t array<long>")
+        links, left = rare_links_module._level(items, 64)
+        return links.count(), left.count(), left.select("_t").distinct().count()
+    for n in (300, 600, 1200):
+        assert seen(n) == (0, n, 1)  # no pair, and one class on the next level
