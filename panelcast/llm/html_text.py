@@ -1,7 +1,7 @@
 """Main text of web pages by two-pass block rules.
 
-A page is cut into blocks at block-level tags; what stands inside scripts, styles, forms
-and the like is never text. Pass 1 decides each block from its surroundings and its own
+A page is cut into blocks at block-level tags; what stands inside scripts, styles, form
+controls and the like is never text, and of a form only what it frames. Pass 1 decides each block from its surroundings and its own
 statistics: blocks inside menus, headers, footers, sidebars, notices, adverts and comment
 lists are bad; blocks full of links are bad; long blocks with a normal density of stop
 words are good, without it bad; short blocks stay open. Pass 2: an open block inherits
@@ -31,160 +31,297 @@ el y los se del las por con no una su para es al lo como más o pero sus le ha m
 #: Tags whose content is no text; tags that end a block; parts of a page that are not the article.
 #: RAW elements hold no markup, MUTE ones do. Only scripts and styles without an end tag run to the end of the page.
 RAW = frozenset("script style noscript template iframe textarea title".split())
-MUTE = frozenset("svg math object select button form canvas video audio".split())
+MUTE = frozenset("svg math object select button label legend canvas video audio".split())
 BLOCKS = frozenset("""address article aside blockquote body br canvas caption center dd details dialog div dl dt fieldset
 figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section
 summary table tbody td tfoot th thead title tr ul""".split())
 AROUND = frozenset(["nav", "header", "footer", "aside", "menu", "dialog"])
+#: Of these, the ones that hold no article: one inside means that the end tag is missing.
+BEFORE = frozenset(["nav", "header", "menu"])
 SECTIONS = AROUND | frozenset(["article", "main", "section", "div", "ul", "ol", "table", "dl", "body"])
+ARTICLES = frozenset(["article", "main"])
+HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
+CLOSED_BY_NEXT = frozenset(["p", "li", "td", "th", "tr", "dt", "dd", "option"])
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Class, id and role words that mark such parts.
-MARKED = re.compile(r"(?:^|(?<!with)(?<!has)(?<!no)[^a-z])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notice|popup|modal|newsletter|"
-                    r"subscribe|sidebar|side|menu|nav\w*|breadcrumbs?|footer|header|masthead|comments?|disqus|respon[ds]e?|"
-                    r"replies|reply|related|share|social|widget|login|search|toolbar|complementary|contentinfo|"
-                    r"navigation)(?:$|[^a-z])")
+#: Elements whose class can mark a part inside an article; of the others the class speaks of the text.
+PARTS = SECTIONS | frozenset(["form", "figure", "fieldset", "details", "span"])
+#: A class, id or role names such a part if each of its words is a MARK or a word of the page's build, one a MARK.
+MARK = re.compile(r"ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notice|popup|modal|newsletter|subscribe|sidebar|"
+                  r"side|menu|nav(?:bar|igation|menu|s)?|breadcrumbs?|footer|header|masthead|comments?|commentlist|disqus|"
+                  r"respon[ds]e?|replies|reply|related|share|social|widgets?|login|search|toolbar|complementary|contentinfo")
+BUILD = frozenset("""site main page top bottom global primary secondary list box bar area block section item items link links inner
+outer post posts body content text title meta form button buttons icon icons group row col column panel slot unit zone thread
+article articles story stories""".split())
 #: Class words that speak of the layout around the article, not of a part beside it.
-LAYOUT = re.compile(r"\S*[-_](?:left|right|both|none|layout|container|wrapper|by[-_]side)(?=\s|$)")
+LAYOUT = re.compile(r"\S*[-_](?:left|right|both|none|layout|container|wrapper|by[-_]side)(?=\s|$)|(?:^|(?<=\s))(?:with|has|no)[-_]\S*")
 HARD = 2
-#: Bounds of pass 1: characters of a short block, of a long one; share of linked characters; shares of stop words.
-SHORT, LONG, LINKED, STOP_LOW, STOP_HIGH = 70, 200, 0.3, 0.08, 0.12
-
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|"
-    r"<[!?][^>]*>|<(?P<close>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.I | re.S)
-_MARKS = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
-_ENDS = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW | MUTE}
+#: Bounds of pass 1: characters of a short block, of a long one; share of linked characters; shares of stop words; the
+#: share of stop words in a whole page below which its language is not one of theirs.
+SHORT, LONG, LINKED, STOP_LOW, STOP_HIGH, FOREIGN = 70, 200, 0.3, 0.08, 0.12, 0.02
+
+_NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*")
+_QUICK = re.compile(r"((?:\s+[a-zA-Z_:-]+=\"[^\"<>]*\")*)\s*(/?)>")
+_QUICK_ATTRIBUTE = re.compile(r"([a-zA-Z_:-]+)=\"([^\"]*)\"")
+_SKIP = re.compile(r"[\s/]*")
+_ATTRIBUTE = re.compile(r"[^\s/>=<][^\s/>=<]*|=")
+_EQUALS = re.compile(r"\s*=\s*")
+_UNQUOTED = re.compile(r"[^\s>]*")
+_COMMENT_END = re.compile(r"--!?>")
+_DISPLAY_NONE = re.compile(r"display\s*:\s*none")
+_ENDS = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW | MUTE | AROUND}
 _SPACES = re.compile(r"\s+")
 _WORDS = re.compile(r"[^\W\d_]+")
+_DENSE = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff]")
 
 
 class _Block:
-    __slots__ = ("bits", "linked", "around", "heading", "section", "article")
+    __slots__ = ("bits", "linked", "around", "heading", "section", "article", "form")
 
-    def __init__(self, around, heading, section, article):
+    def __init__(self, around, heading, section, article, form):
         self.bits, self.linked = [], 0
-        self.around, self.heading, self.section, self.article = around, heading, section, article
+        self.around, self.heading, self.section, self.article, self.form = around, heading, section, article, form
+
+
+class _Reader:
+    """Tags of a page, one after another; no place is read more than a few times."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last = {q: page.rfind(q) for q in "\"'"}
+        self.last_end: dict[str, int] = {}
+        self.no_comment_end = len(page) + 1
+
+    def ends_after(self, tag: str, at: int) -> bool:
+        if tag not in self.last_end:
+            self.last_end[tag] = max((m.start() for m in _ENDS[tag].finditer(self.page)), default=-1)
+        return self.last_end[tag] >= at
+
+    def after_comment(self, at: int) -> int:
+        """The place behind the comment whose `<!--` ends at `at`; an open one ends at its first `>`, or at the page's end."""
+        page = self.page
+        if page.startswith((">", "->"), at):
+            return page.index(">", at) + 1
+        if at < self.no_comment_end:
+            if m := _COMMENT_END.search(page, at):
+                return m.end()
+            self.no_comment_end = at
+        return len(page)
+
+    def attributes(self, at: int):
+        """(place behind the tag, attributes) of a tag whose name ends at `at`; the place is None at the page's end."""
+        page, found = self.page, {}
+        if m := _QUICK.match(page, at):
+            for k, v in _QUICK_ATTRIBUTE.findall(m[1]):
+                found.setdefault(k.lower(), v)
+            return m.end(), found
+        while True:
+            at = _SKIP.match(page, at).end()
+            if at >= len(page):
+                return None, found
+            if page[at] == ">":
+                return at + 1, found
+            if page[at] == "<":  # the tag was never closed
+                return at, found
+            m = _ATTRIBUTE.match(page, at)
+            name, at, value = m.group().lower(), m.end(), ""
+            if m := _EQUALS.match(page, at):
+                at = m.end()
+                quote = page[at:at + 1]
+                close = page.find(quote, at + 1) if quote and quote in "\"'" and at < self.last[quote] else -1
+                if close >= 0:
+                    value = page[at + 1:close]
+                    if ">" in value and value.rstrip().endswith("="):  # the quote that begins the next attribute
+                        close = at + value.index(">")
+                        value = page[at + 1:close + 1]
+                    at = close + 1
+                else:
+                    m = _UNQUOTED.match(page, at)
+                    value, at = m.group(), m.end()
+            found.setdefault(name, value)
+
+
+def _marked(found: dict) -> bool:
+    """Whether class, id, role or a short label name a part beside the article."""
+    label = found.get("aria-label", "")
+    words = " ".join((found.get("class", ""), found.get("id", ""), found.get("role", ""), label if label.count(" ") < 3 else ""))
+    for token in LAYOUT.sub(" ", words.lower()).split():
+        parts = [x for x in re.split(r"[^a-z]+", token) if x]
+        named = [bool(MARK.fullmatch(x)) for x in parts]
+        if any(named) and all(n or x in BUILD for n, x in zip(named, parts, strict=True)):
+            return True
+    return False
 
 
 def blocks_of(page: str) -> list[tuple[str, _Block]]:
-    """(text, block) of every block that is not empty, in page order."""
-    out, stack, links, sections = [], [], 0, 0
-    block = _Block(False, False, 0, False)
+    """(text, block) of every block that is not empty, in page order; the time is linear in the page."""
+    reader, out, links, sections, forms = _Reader(page), [], 0, 0, 0
+    # (tag, around, section, form): around is what holds inside the element: 0, 1 (a mark) or HARD
+    stack: list[tuple] = []
+    counts: dict[str, int] = {}
+    inside = {"article": 0, "mute": 0, "hard": 0}
+    block = _Block(False, False, 0, False, 0)
+
+    def top(k, none=0):
+        return stack[-1][k] if stack else none
+
+    def push(tag, around, section, form, hard=False):
+        stack.append((tag, around, section, form, hard))
+        counts[tag] = counts.get(tag, 0) + 1
+        inside["article"] += tag in ARTICLES
+        inside["mute"] += tag in MUTE
+        inside["hard"] += hard
+
+    def pop():
+        tag, _, _, _, hard = stack.pop()
+        counts[tag] -= 1
+        inside["article"] -= tag in ARTICLES
+        inside["mute"] -= tag in MUTE
+        inside["hard"] -= hard
+        return tag
+
+    def close(tag):
+        if counts.get(tag):
+            while pop() != tag:
+                pass
 
     def turn(heading=False):
         nonlocal block
         text = _SPACES.sub(" ", html.unescape("".join(block.bits))).strip()
         if text:
             out.append((text, block))
-        block = _Block(around(), heading, next((s[2] for s in reversed(stack) if s[2]), 0),
-                       any(s[0] in ("article", "main") for s in stack))
-
-    def muted():
-        return any(s[0] in MUTE for s in stack)
-
-    last_end = {}
-
-    def ends_after(tag, at):
-        if tag not in last_end:
-            last_end[tag] = max((m.start() for m in _ENDS[tag].finditer(page)), default=-1)
-        return last_end[tag] >= at
-
-    def around():
-        """Hard marks count anywhere; those of a wrapper's class end at the article or main inside it."""
-        if any(s[1] == HARD for s in stack):
-            return True
-        for s in reversed(stack):
-            if s[1]:
-                return True
-            if s[0] in ("article", "main") and s[3]:
-                return False
-        return False
+        block = _Block(bool(top(1)) or inside["hard"] > 0, heading, top(2), inside["article"] > 0, top(3))
 
     def say(text):
-        if text and not muted():
+        if text and not inside["mute"]:
             block.bits.append(text)
             if links:
                 block.linked += len(text.strip())
-    at = 0
-    while m := _TOKEN.search(page, at):
-        say(page[at:m.start()])
-        at = m.end()
-        tag = (m["tag"] or "").lower()
-        if not tag:
+    at, said = 0, 0
+    while (start := page.find("<", at)) >= 0:
+        if page.startswith("<!--", start):
+            say(page[said:start])
+            at = said = reader.after_comment(start + 4)
+            continue
+        if page.startswith("<![CDATA[", start):
+            say(page[said:start])
+            end = page.find("]]>", start)
+            at = said = end + 3 if end >= 0 else len(page)
+            continue
+        if page.startswith(("<!", "<?"), start):
+            say(page[said:start])
+            end = page.find(">", start)
+            at = said = end + 1 if end >= 0 else len(page)
+            continue
+        closing = page.startswith("</", start)
+        name = _NAME.match(page, start + 1 + closing)
+        if not name:
+            at = start + 1
+            continue
+        end, found = reader.attributes(name.end())
+        if found and start and page[start - 1].isalnum() and not closing and "=" not in page[name.end():end]:
+            at = start + 1  # a<b and c>d: words, no tag
             continue
-        if tag in RAW and not m["close"]:
-            if ends_after(tag, at) and (tag in ("script", "style") or not m["rest"].endswith("/")):
-                at = _ENDS[tag].search(page, at).end()
+        say(page[said:start])
+        at = said = len(page) if end is None else end
+        if end is None:
+            break
+        tag = name.group().lower()
+        empty = page[end - 2:end] == "/>"
+        if tag in RAW and not closing:
+            if reader.ends_after(tag, at) and (tag in ("script", "style") or not empty):
+                at = said = _ENDS[tag].search(page, at).end()
             elif tag in ("script", "style"):
-                at = len(page)
+                at = said = len(page)
             turn()
             continue
-        if tag in MUTE and not m["close"]:
+        if tag in MUTE and not closing:
             # self-closed, or never closed: empty; else up to its end tag or that of an element around it
             turn()
-            if not m["rest"].endswith("/") and ends_after(tag, at):
-                stack.append((tag, 0, 0, False))
+            if not empty and reader.ends_after(tag, at):
+                push(tag, top(1), top(2), top(3))
             continue
-        if muted():
-            if m["close"]:
-                if any(s[0] == tag for s in stack):
-                    while stack.pop()[0] != tag:
-                        pass
-                    if not muted():
-                        turn()
-            elif tag in BLOCKS and tag not in VOID and not m["rest"].endswith("/"):
-                stack.append((tag, 0, 0, False))
+        if inside["mute"]:
+            if closing:
+                close(tag)
+                if not inside["mute"]:
+                    turn()
+            elif tag in BLOCKS and tag not in VOID and not empty:
+                push(tag, top(1), top(2), top(3))
             continue
         if tag == "a":
-            links = max(0, links - 1) if m["close"] else links + 1
+            links = max(0, links - 1) if closing else links + 1
         if tag not in BLOCKS:
             continue
-        if m["close"]:
-            if any(s[0] == tag for s in stack):
-                while stack.pop()[0] != tag:
-                    pass
+        if closing:
+            close(tag)
             links = 0 if tag in SECTIONS else links
             turn()
             continue
-        if tag not in VOID and not m["rest"].endswith("/"):
-            if tag in ("p", "li", "td", "th", "tr", "dt", "dd", "option"):  # an open one ends here
+        if tag not in VOID and not empty:
+            if tag in CLOSED_BY_NEXT:  # an open one ends here
                 while stack and stack[-1][0] == tag:
-                    stack.pop()
-            marks = " ".join(filter(None, (x for found in _MARKS.findall(m["rest"]) for x in found))).lower()
-            inside = any(s[0] in ("article", "main") for s in stack)
-            marked = bool(MARKED.search(LAYOUT.sub(" ", marks)))
+                    pop()
+            article = inside["article"] > 0
+            marked = (tag in PARTS or not article) and _marked(found)
             # a header inside the article is the article's own head
-            own_head = tag == "header" and inside
-            hard = (tag in AROUND and not own_head) or bool(_HIDDEN.search(m["rest"]))
-            bad = HARD if hard else int(marked and not own_head and tag not in ("body", "html", "article", "main"))
+            own_head = tag == "header" and article
+            hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or bool(
+                _DISPLAY_NONE.search(found.get("style", "").lower()))
+            around = top(1)
             # an article in another one, or with a mark of its own, may be a comment: it ends no outer mark
-            frees = tag in ("article", "main") and not marked and not any(s[0] == "article" for s in stack)
+            if tag in ARTICLES and not marked and not counts.get("article") and around < HARD:
+                around = 0
+            if tag in AROUND and not own_head:
+                # what holds no article, or has no end tag, ends at an article inside it
+                around = max(around, 1 if tag in BEFORE or not reader.ends_after(tag, at) else HARD)
+            elif marked and not own_head and tag not in ("body", "html", *ARTICLES):
+                around = max(around, 1)
+            form = top(3)
+            if tag == "form":
+                forms += 1
+                form = forms if not article else -1
+            elif tag in ARTICLES and not marked:
+                form = 0
             if tag in SECTIONS:
                 sections += 1
-            stack.append((tag, bad, sections if tag in SECTIONS else 0, frees))
-        turn(tag in ("h1", "h2", "h3", "h4", "h5", "h6"))
-    say(page[at:] if "<" not in page[at:] else re.sub(r"</?[a-z][^>]*\Z", "", page[at:], flags=re.S | re.I))
+            push(tag, around, sections if tag in SECTIONS else top(2), form, hidden)
+        turn(tag in HEADINGS)
+    else:
+        say(page[said:])
     turn()
     return out
 
 
-def first_pass(text: str, block: _Block) -> bool | None:
-    """True: good, False: bad, None: open."""
+def _length(text: str) -> int:
+    """Characters, those of scripts without spaces counting for three."""
+    return len(text) + 2 * len(_DENSE.findall(text))
+
+
+def density(text: str) -> tuple[int, int]:
+    """(stop words, words) of a text."""
+    words = _WORDS.findall(text.lower())
+    return sum(w in STOP_WORDS for w in words), len(words)
+
+
+def first_pass(text: str, block: _Block, foreign: bool = False) -> bool | None:
+    """True: good, False: bad, None: open. A page in a language without stop words here is judged by lengths and links."""
     if block.around:
         return False
     linked = block.linked / len(text)
     if linked > LINKED:
         return None if block.article else False
-    if len(text) < SHORT or block.heading:
+    size = _length(text)
+    if size < SHORT or block.heading:
         return None
-    words = _WORDS.findall(text.lower())
-    density = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-    if density >= STOP_HIGH or (density >= STOP_LOW and len(text) >= LONG):
+    if foreign:
+        return True
+    stops, words = density(text)
+    share = stops / max(1, words)
+    if share >= STOP_HIGH or (share >= STOP_LOW and size >= LONG):
         return True
     if block.article:  # its place speaks for it
         return None
-    return False if density < STOP_LOW and len(text) >= LONG else None
+    return False if share < STOP_LOW and size >= LONG else None
 
 
 def second_pass(labels: list[bool | None], blocks: list[_Block]) -> list[bool]:
@@ -215,9 +352,14 @@ def second_pass(labels: list[bool | None], blocks: list[_Block]) -> list[bool]:
 def main_text(page: str | None) -> str:
     """The article's blocks, joined by newlines; '' for a null or empty page."""
     found = blocks_of(page or "")
-    blocks = [b for _, b in found]
-    good = second_pass([first_pass(t, b) for t, b in found], blocks)
-    return "\n".join(t for (t, _), g in zip(found, good, strict=True) if g)
+    counted = [density(t) for t, b in found if not b.around and _length(t) >= SHORT]
+    foreign = sum(s for s, _ in counted) < FOREIGN * sum(w for _, w in counted)
+    labels = [first_pass(t, b, foreign) for t, b in found]
+    # a form that holds a long good text is a frame around the page; of any other form nothing is text
+    frames = {b.form for (t, b), label in zip(found, labels, strict=True) if label and b.form > 0 and _length(t) >= LONG}
+    kept = [k for k, (_, b) in enumerate(found) if b.form == 0 or b.form in frames]
+    good = second_pass([labels[k] for k in kept], [found[k][1] for k in kept])
+    return "\n".join(found[k][0] for k, g in zip(kept, good, strict=True) if g)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

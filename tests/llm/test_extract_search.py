@@ -186,3 +186,40 @@ def test_marked_wrappers_around_the_article(page):
 ])
 def test_marks_that_hold(page):
     assert html_text.main_text(page) == ""
+
+
+RUSSIAN = "Смотритель дома сказал, что лодки и люди остались в заливе и что не ему решать, у кого теперь верёвка от старого причала."
+CHINESE = "屋子的看守人说船和人都还在海湾里，绳子在谁手上不是他能决定的事情，他只知道昨天夜里风很大。" * 2
+
+
+@pytest.mark.parametrize("page,text", [
+    (f"<nav><a href=/>Дом</a></nav><h1>Заголовок</h1><p>{RUSSIAN}</p><p>Да.</p><p>{RUSSIAN}</p>", f"Заголовок\n{RUSSIAN}\nДа.\n{RUSSIAN}"),
+    (f"<div class=menu>首页</div><div><p>{CHINESE}</p><p>{CHINESE}</p></div><footer>版权</footer>", f"{CHINESE}\n{CHINESE}"),
+    (f"<form action=/p><div><article><p>{LONG}</p></article></div><input type=hidden></form>", LONG),
+    (f"<body><form id=f><p>{LONG} {LONG}</p><h2>More</h2><p>{LONG}</p><label>Mail</label><button>Send</button></form></body>",
+     f"{LONG} {LONG}\nMore\n{LONG}"),
+    (f"<article><p>{LONG}</p></article><form><p>Write to us, we shall answer.</p><label>Name <input></label></form>", LONG),
+    (f"<article><p data-x=it's>{LONG}</p><p>{LONG}</p><p id='z'>{LONG}</p></article>", f"{LONG}\n{LONG}\n{LONG}"),
+    (f"<article><p title=\"open>{LONG}</p><p class=\"b\">{LONG}</p></article>", f"{LONG}\n{LONG}"),
+    (f"<article><p title=\"open>{LONG}</p></article>", LONG),
+    (f"<article><p>{LONG} a<b and c>d</p></article>", f"{LONG} a<b and c>d"),
+    (f"<article><!--><p>{LONG}</p><!-- x --!><p>{LONG}</p><!-- y --></article>", f"{LONG}\n{LONG}"),
+    (f"<div class='related-work'><p>{LONG}</p></div>", LONG),
+    (f"<article><section id='share-prices'><p>{LONG}</p></section><p class='side'>{LONG}</p></article>", f"{LONG}\n{LONG}"),
+    (f"<article><p>{LONG}</p><div class='related-posts'><p>{LONG}</p></div><div class='share'>Share it</div></article>", LONG),
+    (f"<nav><a href=x>Home</a><article><p>{LONG}</p></article>", LONG),
+    (f"<aside><p>Beside</p><article><p>{LONG}</p></article>", LONG),
+    (f"<main><p>{LONG}</p><p <b>{LONG}</b></p></main>", f"{LONG}\n{LONG}"),
+])
+def test_faults_of_markup_and_other_languages(page, text):
+    assert html_text.main_text(page) == text
+
+
+@pytest.mark.parametrize("unit", ["<div>", "<p title=\"a' ", "<svg>", "<b ", "<!--", "<a href='", "<nav>", "<form>", "<article>", "</p>",
+                                  "<title>", "<p class=\"x>", "< ", "<p x=\"a>b=\""])
+def test_repeated_tags_take_linear_time(unit):
+    import time
+    t0 = time.process_time()
+    html_text.main_text(unit * 8000)
+    html_text.main_text(f"<article><p>{LONG}</p></article>" + unit * 8000 + "</svg></title>")
+    assert time.process_time() - t0 < 2
