@@ -191,22 +191,22 @@ def nearest(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
                                        *[F.max(f"_p{i}").alias(f"hi{i}") for i in range(DIMS)]).collect()  # CELLS rows at most
     boxes = (np.array([r["_cell"] for r in stats]), np.array([[r[f"lo{i}"] for i in range(DIMS)] for r in stats]),
              np.array([[r[f"hi{i}"] for i in range(DIMS)] for r in stats]))
-    blocks = spark.createDataFrame([(r["_cell"], -(-r["n"] // BLOCK_ROWS)) for r in stats], "_cell long, _subs long")
+    subs = {r["_cell"]: -(-r["n"] // BLOCK_ROWS) for r in stats}
     asked = good.filter(F.pmod("_id", F.lit(every)) == 0)
-    chunks = max(1, -(-asked.count() // CHUNK))
-
-    pieces = (index.join(F.broadcast(blocks), "_cell")
-              .withColumn("_sub", F.pmod(F.xxhash64("_id"), F.col("_subs")))
-              .withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))))
     key = ["_cell", "_sub", "_chunk"]
-    pieces = pieces.select(*key, "_id", "_v")
     limit = chi_square_quantile(confidence, DIMS)
 
     def search(routed: DataFrame) -> DataFrame:
-        """routed: (_cell, _id, _v, _bound)"""
-        routed = (routed.join(F.broadcast(blocks), "_cell")
+        """routed: (_cell, _id, _v, _bound).  A cell's points are copied for each CHUNK of the queries that come to it."""
+        come = routed.groupBy("_cell").count().collect()  # CELLS rows at most
+        blocks = F.broadcast(spark.createDataFrame(
+            [(r["_cell"], subs[r["_cell"]], -(-r["count"] // CHUNK)) for r in come if r["_cell"] in subs],
+            "_cell long, _subs long, _chunks long"))
+        pieces = (index.join(blocks, "_cell").withColumn("_sub", F.pmod(F.xxhash64("_id"), F.col("_subs")))
+                  .withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_chunks") - 1))).select(*key, "_id", "_v"))
+        routed = (routed.join(blocks, "_cell")
                   .withColumn("_sub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_subs") - 1)))
-                  .withColumn("_chunk", F.pmod(F.xxhash64("_id"), F.lit(chunks)).cast("int")))
+                  .withColumn("_chunk", F.pmod(F.xxhash64("_id"), F.col("_chunks"))))
         return pieces.groupBy(*key).cogroup(routed.select(*key, "_id", "_v", "_bound").groupBy(*key)).applyInArrow(
             _search(shipped, dim, k, limit), FOUND)
 

@@ -188,13 +188,20 @@ def _cut(pattern: str, buckets: int, block_tokens: int):
 
 
 def _encode_bucket(shipped):
-    """One bucket of words, all blocks: each distinct word is encoded once; ids go to (block)."""
-    def run(key, rows):
-        keys, payloads = [], []
-        if key[0].as_py() < 0:
-            ranks = received(shipped)
-            known: dict[bytes, list[int]] = {}
-            for block, payload in zip(rows["_block"].to_pylist(), rows["_payload"], strict=True):
+    """One bucket of words, all blocks: each distinct word is encoded once; ids go to (block).
+
+    The blocks' rows pass by batch after batch; only the bucket's distinct words are held.
+    """
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if key[0].as_py() >= 0:
+            for _ in batches:  # a block's documents are no bucket
+                pass
+            return
+        ranks = received(shipped)
+        known: dict[bytes, list[int]] = {}
+        for rows in batches:
+            keys, payloads = [], []
+            for block, payload in zip(rows.column("_block").to_pylist(), rows.column("_payload"), strict=True):
                 codes, lengths, raw = _unpack(payload.as_py())
                 at, ids, sizes = 0, [], []
                 for n in _numbers(lengths).tolist():
@@ -207,8 +214,8 @@ def _encode_bucket(shipped):
                     sizes.append(len(got))
                 keys.append(block)
                 payloads.append(_pack(_numbers(codes), sizes, ids))
-        return pa.table({"_key": pa.array(keys, pa.int64()), "_block": pa.array(keys, pa.int64()),
-                         "_payload": pa.array(payloads, pa.binary())})
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(keys, pa.int64()), pa.array(payloads, pa.binary())],
+                                             ["_key", "_block", "_payload"])
     return run
 
 

@@ -67,13 +67,19 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that stay, with all their columns.
+    """The rows of `docs` that stay, with all their columns; of rows that repeat an id and its text, one.
 
-    Only ids meet the texts again, in a hash join that streams the texts unsorted.
+    Only ids meet the texts again. Rows with a null id are told apart by nothing and stay.
     """
     kept = (exact_dedup(docs, id_col, text_col).filter("kept")
             .select(F.col(id_col).alias("_kept_id")).distinct())
-    return docs.join(kept.hint("shuffle_hash"), docs[id_col].eqNullSafe(kept["_kept_id"]), "left_semi")
+    rows = docs.join(kept, docs[id_col].eqNullSafe(kept["_kept_id"]), "left_semi")
+    nth = "_nth"
+    while nth in docs.columns:
+        nth += "_"
+    again = Window.partitionBy(id_col, F.xxhash64(text_col)).orderBy(F.lit(0))
+    rows = rows.withColumn(nth, F.row_number().over(again))
+    return rows.filter((F.col(nth) == 1) | F.col(id_col).isNull()).drop(nth)
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Language identification with string kernels.
 
 The kernel of two texts is the number of character n-grams (n = 1..3, blended) present in
-both, normalised by the numbers present in each. A bounded sample of labelled texts is
+both, normalised by the numbers present in each. An n-gram's number is a hash of its characters,
+whatever their script, to NGRAMS places. A bounded sample of labelled texts is
 mapped to Nyström features on landmark texts of every language; ridge regression, one
 language against the rest, is solved in that space. The kernel is linear in the presence
 vector, so landmarks, Nyström map and ridge weights fold into one matrix of n-grams x
@@ -10,7 +11,6 @@ languages: a batch of texts is scored by one matrix product.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,40 +20,35 @@ from pyspark.sql import functions as F
 
 from panelcast.llm.common import fold_of, received, ship, smallest_per_class, table
 
-ALPHABET = 64
-NGRAMS = ALPHABET + ALPHABET**2 + ALPHABET**3
+#: Places of the n-grams' hashes.
+BITS = 18
+NGRAMS = 1 << BITS
 #: Bounds of the training sample: texts and landmarks per language, characters per text.
 PER_LANG, LANDMARKS, SHORTEST, LONGEST = 400, 48, 20, 20_000
 RIDGE, SHARPNESS, BATCH = 1e-3, 4.0, 64
 UNKNOWN = "und"
 
 
-def ngrams(text: str, place: np.ndarray, seen: np.ndarray) -> np.ndarray:
+def ngrams(text: str, seen: np.ndarray) -> np.ndarray:
     """Distinct n-gram numbers of the whole text; `seen` is an all-false scratch array."""
-    c = place[np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)].astype(np.int32)
-    two = c[:-1] * ALPHABET + c[1:] if len(c) > 1 else c[:0]
-    three = two[:-1] * ALPHABET + c[2:] if len(c) > 2 else c[:0]
-    every = np.concatenate((c, two + ALPHABET, three + ALPHABET + ALPHABET**2))
-    seen[every] = True
+    c = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
+    two = c[:-1] * np.uint32(0x85EBCA6B) + c[1:] + np.uint32(1) if len(c) > 1 else c[:0]
+    three = two[:-1] * np.uint32(0xC2B2AE35) + c[2:] + np.uint32(2) if len(c) > 2 else c[:0]
+    every = np.concatenate((c, two, three))
+    every = (every ^ (every >> np.uint32(15))) * np.uint32(0x9E3779B1)
+    seen[every >> np.uint32(32 - BITS)] = True
     found = np.flatnonzero(seen)
     seen[found] = False
     return found
 
 
 class KernelRidge:
-    """Fitted classifier: alphabet lookup, n-gram columns, folded weights."""
+    """Fitted classifier: n-gram columns, folded weights."""
 
     def __init__(self, texts: list[str], langs: list[str], per_lang: int = LANDMARKS, ridge: float = RIDGE):
         self.langs = sorted(set(langs))
-        chars = Counter()
-        for t in texts:
-            chars.update(t.lower())
-        common = sorted(chars, key=lambda ch: (-chars[ch], ch))[:ALPHABET - 1]
-        self.place = np.full(0x110000, ALPHABET - 1, np.uint8)
-        for i, ch in enumerate(common):
-            self.place[ord(ch)] = i
         seen = np.zeros(NGRAMS, bool)
-        grams = [ngrams(t, self.place, seen) for t in texts]
+        grams = [ngrams(t, seen) for t in texts]
         rows: dict[str, list[int]] = {}
         for i, lang in enumerate(langs):
             rows.setdefault(lang, []).append(i)
@@ -91,7 +86,7 @@ class KernelRidge:
         seen = np.zeros(NGRAMS, bool)
         for at in range(0, len(known), BATCH):
             part = known[at:at + BATCH]
-            grams = [ngrams(texts[i], self.place, seen) for i in part]
+            grams = [ngrams(texts[i], seen) for i in part]
             f = SHARPNESS * (self._present(grams, len(self.weights) - 1) @ self.weights + self.bias)
             p = np.exp(f - f.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
@@ -141,10 +136,19 @@ def identify(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col
     return scored.select(F.col("_id").alias(id_col), F.col("_p.lang").alias("lang_pred"), F.col("_p.score").alias("score"))
 
 
-def drop_unknown(docs: DataFrame, train: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of `docs` whose language is found, with all their columns."""
-    column = language_column(docs.sparkSession, fit(train, text_col, lang_col))(F.col(text_col))
-    return docs.filter(column["lang"] != UNKNOWN)
+def accept(docs: DataFrame, train: DataFrame, text_col: str = "text", lang_col: str = "lang",
+           languages: tuple[str, ...] | None = None, min_score: float = 0.0) -> DataFrame:
+    """The rows of `docs` predicted to be in one of `languages` (None: any learned one) with at least min_score.
+
+    Texts without a letter have no language and go. If `train` has no usable row, no language can be told: all
+    texts with a letter stay. All columns are kept.
+    """
+    model = fit(train, text_col, lang_col)
+    if model is None:
+        return docs.filter(F.col(text_col).rlike(r"\p{L}"))
+    found = language_column(docs.sparkSession, model)(F.col(text_col))
+    good = (found["lang"] != UNKNOWN) & (found["score"] >= min_score)
+    return docs.filter(good & found["lang"].isin(*languages) if languages is not None else good)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

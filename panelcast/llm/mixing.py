@@ -23,6 +23,8 @@ from panelcast.session import cut_lineage
 GOLDEN = 0.6180339887498949
 WEIGHTS = (5, 2, 1)
 CELLS = 1024
+#: Words of a block of the schedule, about; slots of a schedule at least.
+BLOCK_WORDS, LEAST_SLOTS = 65536, 4096
 
 
 def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: str) -> DataFrame:
@@ -99,22 +101,21 @@ def schedule(spark: SparkSession, goals: DataFrame, slots: int) -> DataFrame:
     return ranked.unionByName(missed)
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-        weights: tuple = WEIGHTS, times: int = 3, slots: int = 131072, seed: str = "mix",
-        digits: int = 3) -> DataFrame:
-    """One row per input row: <id_col>, size, source_size, target, taken.
+def slot_count(words: int, block_words: int = BLOCK_WORDS) -> int:
+    """Slots of a schedule for so many words: blocks of about block_words, LEAST_SLOTS at least."""
+    return max(LEAST_SLOTS, -(-words // block_words))
 
-    Size is the number of words of the whole text; null and empty texts have size 0 and are
-    never taken. A null source is a source of its own, the last. Rows that share an id are
-    ordered by size and count each for themselves. If all texts are empty, targets and
-    taken are 0. A source's taken words are its target rounded down, however small its share. A row is taken at most `times`
-    times. Reruns give the same rows. An empty table gives an empty result; other columns
-    are ignored. 16^digits buckets cut the running totals of a source.
-    """
+
+def placements(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+               weights: tuple = WEIGHTS, times: int = 3, slots: int | None = None, seed: str = "mix",
+               digits: int = 3) -> DataFrame:
+    """`mix` with a column rounds: (round, slot) of each time that a row is read, by the slot of its first block."""
     spark = docs.sparkSession
     rows = cut_lineage(sized(docs, id_col, text_col, source_col, seed))
     goals = cut_lineage(targets(rows, weights, times))
-    plan = schedule(spark, goals, slots)
+    if slots is None:
+        slots = slot_count(goals.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0])
+    plan = cut_lineage(schedule(spark, goals, slots))
 
     rows = rows.withColumn("_bucket", F.substring("_hash", 1, digits))
     totals = rows.groupBy("_source", "_bucket").agg(F.sum("_size").alias("_sum"))
@@ -139,43 +140,64 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     pieces = placed.withColumn("_e", F.explode_outer(rounds))
     a = F.col("_start") + F.col("_e") * F.col("source_size")
     pieces = pieces.withColumn("_a", a).withColumn("_z", F.least(a + F.col("_size"), goal))
-    first = F.floor(F.expr("((_a + 1) * _n - 1) div floor(target)"))
-    last = F.floor(F.expr("(_z * _n - 1) div floor(target)"))
+
+    # words times slots do not fit a long at every size
+    first, last = (F.expr(f"(cast({x} as decimal(19, 0)) * cast(_n as decimal(19, 0)) - 1) div floor(target)") for x in ("_a + 1", "_z"))
     pieces = pieces.withColumn("rank", F.explode_outer(F.when(F.col("_e").isNotNull(), F.sequence(first, last))))
     blocks = plan.select("_src", "rank", "slot")
     joined = pieces.join(blocks, ["_src", "rank"], "left")
-    begins, finishes = F.expr("(rank * floor(target)) div _n"), F.expr("((rank + 1) * floor(target)) div _n")
+    begins, finishes = (F.expr(f"cast({r} as decimal(19, 0)) * cast(floor(target) as decimal(19, 0)) div _n") for r in ("rank", "rank + 1"))
     overlap = F.when(F.col("slot").isNotNull(),
                      F.greatest(F.lit(0), F.least(F.col("_z"), finishes) - F.greatest(F.col("_a"), begins)))
     keys = ["_src", "_bucket", "_row", "_id", "_size", "source_size", "target"]
-    return (joined.groupBy(*keys).agg(F.coalesce(F.sum(overlap), F.lit(0)).cast("long").alias("taken"))
-            .select(F.col("_id").alias(id_col), F.col("_size").alias("size"), "source_size", "target", "taken"))
+    each = joined.groupBy(*keys, "_e").agg(F.sum(overlap).alias("_taken"), F.min("slot").alias("_slot"), F.count("slot").alias("_k"))
+    read = F.struct(F.col("_e").alias("round"), F.col("_slot").alias("slot"))
+    return (each.groupBy(*keys).agg(
+                F.coalesce(F.sum("_taken"), F.lit(0)).cast("long").alias("taken"), F.min("_slot").alias("first_slot"),
+                F.sum("_k").alias("n_blocks"), F.array_sort(F.collect_list(F.when(F.col("_slot").isNotNull(), read))).alias("rounds"))
+            .select(F.col("_id").alias(id_col), F.col("_size").alias("size"), "source_size", "target", "taken",
+                    "first_slot", "n_blocks", "rounds"))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
+    """One row per input row: <id_col>, size, source_size, target, taken, first_slot, n_blocks.
+
+    first_slot is the place in the schedule of the first block that takes words of the row (null: none does),
+    n_blocks the number of blocks that do. Size is the number of words of the whole text; null and empty texts
+    have size 0 and are never taken. A null source is a source of its own, the last. Rows that share an id are
+    ordered by size and count each for themselves. If all texts are empty, targets and
+    taken are 0. A source's taken words are its target rounded down, however small its share. A row is taken at most `times`
+    times. The number of slots follows from the number of words. Reruns give the same rows. An empty table gives an
+    empty result; other columns are ignored. 16^digits buckets cut the running totals of a source.
+    """
+    return placements(docs, id_col, text_col, source_col, **how).drop("rounds")
 
 
 def repeat_documents(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """`docs` as the mix takes them: each row as often as its words are taken.
+    """`docs` as the mix takes them, in the order of the schedule: each row as often as its words are taken.
 
-    Only the document at the end of a source's last round is taken in part; it counts as
-    a whole if at least half of it is taken. Documents taken 0 times go.
+    The copy of a round stands at the slot of its first block. Only the document at the end of a source's last
+    round is taken in part; it counts as a whole if at least half of it is taken. Documents taken 0 times go.
     """
-    times = mix(docs, id_col, **how).filter("taken > 0").select(
-        F.col(id_col).alias("_mix_id"), F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("_mix_n"))
+    found = placements(docs, id_col, **how).filter("taken > 0")
+    copies = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
+    found = found.select(F.col(id_col).alias("_mix_id"), F.slice("rounds", F.lit(1), copies)["slot"].alias("_mix_slots"))
     # repeated ids: the largest count holds, so that a row is not multiplied by its twins
-    times = times.filter("_mix_n > 0").groupBy("_mix_id").agg(F.max("_mix_n").alias("_mix_n"))
-    joined = docs.join(times.hint("shuffle_hash"), docs[id_col].eqNullSafe(times["_mix_id"]))
-    nth = "_mix_nth"
-    while nth in docs.columns:
-        nth += "_"
-    copies = joined.select(*[docs[c] for c in docs.columns],
-                           F.explode(F.sequence(F.lit(1), times["_mix_n"])).alias(nth))
-    return copies.drop(nth)
+    found = found.filter(F.size("_mix_slots") > 0).groupBy("_mix_id").agg(
+        F.max(F.struct(F.size("_mix_slots"), F.col("_mix_slots")))["_mix_slots"].alias("_mix_slots"))
+    joined = docs.join(found, docs[id_col].eqNullSafe(found["_mix_id"]))
+    slot = "_mix_slot"
+    while slot in docs.columns:
+        slot += "_"
+    rows = joined.select(*[docs[c] for c in docs.columns], F.explode(found["_mix_slots"]).alias(slot))
+    return rows.orderBy(slot, id_col).drop(slot)
 
 
 def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
-#: The same mix in closed form: a document's overlap with its source's first floor(target) words.
+#: The same mix in closed form: a document's overlap with its source's first floor(target) words; the schedule point by point.
 SQL = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
@@ -190,19 +212,37 @@ l AS (
             / sum(w) OVER (ORDER BY source_size / w, src ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lev
   FROM w),
 t AS (
-  SELECT source, source_size,
+  SELECT source, src, source_size,
          CASE WHEN 3 * source_size <= w * lev THEN (3 * source_size)::DOUBLE
               ELSE w * max(CASE WHEN 3 * source_size > w * lev THEN lev END) OVER () END AS target
   FROM l),
+sc AS (SELECT greatest(4096, (sum(source_size) + 65535) // 65536) AS slots FROM t),
+pt AS (SELECT k AS slot, ((k + 1) * 0.6180339887498949::DOUBLE) % 1 AS u FROM (SELECT unnest(range(0, slots::BIGINT)) AS k FROM sc)),
+sp AS (
+  SELECT src, CASE WHEN upto >= total THEN 1.0 ELSE upto / total END AS hi
+  FROM (SELECT src, target, sum(target) OVER (ORDER BY src) AS upto, sum(target) OVER () AS total FROM t) WHERE target > 0),
+iv AS (SELECT src, coalesce(lag(hi) OVER (ORDER BY src), 0.0) AS lo, hi FROM sp),
+hit AS (SELECT src, slot FROM pt JOIN iv ON u >= lo AND u < hi),
+ev AS (
+  SELECT src, slot FROM hit UNION ALL
+  SELECT src, slots + row_number() OVER (ORDER BY src) - 1 FROM iv, sc WHERE src NOT IN (SELECT src FROM hit)),
+pl AS (SELECT src, slot, row_number() OVER (PARTITION BY src ORDER BY slot) - 1 AS rank, count(*) OVER (PARTITION BY src) AS k FROM ev),
 p AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target,
+  SELECT d.doc_id, d.size, t.src, t.source_size, t.target,
          sum(d.size) OVER (PARTITION BY d.source ORDER BY h, d.doc_id NULLS LAST, d.size
                            ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - d.size AS a
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size::BIGINT AS size, source_size, target,
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+q AS (
+  SELECT p.*, floor(target)::HUGEINT AS goal, k FROM p LEFT JOIN (SELECT DISTINCT src, k FROM pl) USING (src)),
+b AS (
+  SELECT *, CASE WHEN size > 0 AND a < goal THEN ((a + 1) * k - 1) // goal END AS r0,
+         list_sum(list_transform([0, 1, 2], lambda e: CASE WHEN size > 0 AND a + e * source_size < goal THEN
+           (least(a + e * source_size + size, goal) * k - 1) // goal - ((a + e * source_size + 1) * k - 1) // goal + 1 ELSE 0 END)) AS nb
+  FROM q)
+SELECT doc_id, size::BIGINT AS size, b.source_size, target,
        (greatest(0, least(a + size, floor(target)) - least(a, floor(target)))
         + greatest(0, least(a + source_size + size, floor(target)) - least(a + source_size, floor(target)))
         + greatest(0, least(a + 2 * source_size + size, floor(target)) - least(a + 2 * source_size, floor(target)))
-       )::BIGINT AS taken
-FROM p
+       )::BIGINT AS taken, pl.slot::BIGINT AS first_slot, coalesce(nb, 0)::BIGINT AS n_blocks
+FROM b LEFT JOIN pl ON pl.src = b.src AND pl.rank = b.r0
 """

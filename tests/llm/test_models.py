@@ -36,14 +36,51 @@ def test_language_edge_cases(spark, frame):
     assert [found[i] for i in (1, 2, 3, 4, 5, 6, None)] == ["und", "und", "und", "de", "en", "en", "en"]
     assert found[7] in ("de", "en")
     assert all(s == 0 for i, _, s in got if i in (1, 2, 3))
-    assert sorted(r.doc_id or 0 for r in language_id.drop_unknown(docs, train).collect()) == [0, 4, 5, 5, 6, 7]
-    assert language_id.drop_unknown(docs, train).columns == docs.columns
+    assert sorted(r.doc_id or 0 for r in language_id.accept(docs, train).collect()) == [0, 4, 5, 5, 6, 7]
+    assert sorted(r.doc_id or 0 for r in language_id.accept(docs, train, languages=("en",)).filter("doc_id <> 7").collect()) == [5, 5, 6]
+    score = {i: s for i, _, s in got}
+    assert {r.doc_id for r in language_id.accept(docs, train, min_score=score[7] + 1e-6).collect()} == {
+        i for i, lang, s in got if lang != "und" and s > score[7]}
+    assert language_id.accept(docs, train).columns == docs.columns
 
 
 def test_language_without_training_rows(frame):
     docs = frame([(1, "the cat", None, "s")])
     assert [(r.lang_pred, r.score) for r in language_id.identify(docs, docs).collect()] == [("und", 0.0)]
     assert language_id.identify(frame([]), frame([])).collect() == []
+    # nothing to learn from: what may have a language stays
+    docs = frame([(1, "the cat", None, "s"), (2, "12", None, "s"), (3, None, "en", "s"), (4, "long " * 9_000, "en", "s")])
+    assert sorted(r.doc_id for r in language_id.accept(docs, docs).collect()) == [1, 4]
+
+
+#: The first words of one sentence in a dozen languages and nine scripts.
+SCRIPTS = {
+    "en": "all human beings are born free and equal in dignity and rights they are endowed with reason",
+    "de": "alle menschen sind frei und gleich an würde und rechten geboren sie sind mit vernunft begabt",
+    "fr": "tous les êtres humains naissent libres et égaux en dignité et en droits ils sont doués de raison",
+    "ru": "все люди рождаются свободными и равными в своем достоинстве и правах они наделены разумом",
+    "uk": "всі люди народжуються вільними і рівними у своїй гідності та правах вони наділені розумом",
+    "el": "όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια και τα δικαιώματα",
+    "he": "כל בני האדם נולדו בני חורין ושווים בערכם ובזכויותיהם כולם חוננו בתבונה ובמצפון",
+    "ar": "يولد جميع الناس أحرارا متساوين في الكرامة والحقوق وقد وهبوا عقلا وضميرا",
+    "hi": "सभी मनुष्यों को गौरव और अधिकारों के मामले में जन्मजात स्वतन्त्रता और समानता प्राप्त है",
+    "th": "มนุษย์ทั้งหลายเกิดมามีอิสระและเสมอภาคกันในเกียรติศักดิ์และสิทธิต่างมีเหตุผลและมโนธรรม",
+    "zh": "人人生而自由在尊严和权利上一律平等他们赋有理性和良心并应以兄弟关系的精神相对待",
+    "ja": "すべての人間は生まれながらにして自由でありかつ尊厳と権利とについて平等である",
+}
+
+
+def test_a_dozen_languages_in_nine_scripts():
+    rng = np.random.default_rng(1)
+
+    def sample(text):
+        parts = text.split() if " " in text else list(text)
+        return (" " if " " in text else "").join(rng.choice(parts, 12 if " " in text else 25))
+    langs = [lang for lang in SCRIPTS for _ in range(20)]
+    model = language_id.KernelRidge([sample(SCRIPTS[lang]) for lang in langs], langs, per_lang=8)
+    for lang, text in SCRIPTS.items():
+        got, _ = model.predict([sample(text) for _ in range(15)])
+        assert sum(x == lang for x in got) >= 14
 
 
 def test_folded_weights_equal_the_kernel_machine():
@@ -53,7 +90,7 @@ def test_folded_weights_equal_the_kernel_machine():
     langs = ["x" if k % 2 else "y" for k in range(60)]
     model = language_id.KernelRidge(texts, langs, per_lang=10)
     seen = np.zeros(language_id.NGRAMS, bool)
-    grams = [set(language_id.ngrams(t, model.place, seen).tolist()) for t in texts]
+    grams = [set(language_id.ngrams(t, seen).tolist()) for t in texts]
     marks = [k for k in range(60) if langs[k] == "x"][:10] + [k for k in range(60) if langs[k] == "y"][:10]
     kernel = np.array([[len(a & grams[m]) / np.sqrt(len(a) * len(grams[m])) for m in marks] for a in grams])
     values, vectors = np.linalg.eigh(kernel[marks])
