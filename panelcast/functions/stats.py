@@ -1,13 +1,13 @@
 """Distribution tail functions for small result tables (no scipy needed).
 
-`f_tail` is a column expression; the plain functions are its check and serve k-row coefficient tables.
+`with_f_tail` works in column expressions; the plain functions are its check and serve k-row coefficient tables.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed value: two-sided 95 % normal quantile used for confidence intervals.
@@ -73,45 +73,44 @@ def log_gamma(x: Column) -> Column:
     return (z - 0.5) * F.log(z) - z + 0.5 * math.log(2 * math.pi) + series - shift
 
 
-def f_tail(f: Column, d1: Column, d2: Column, steps: int = 600) -> Column:
-    """P(F(d1, d2) > f) as a column expression: the incomplete beta function by its continued fraction.
+def with_f_tail(df: DataFrame, f: str, d1: Column, d2: Column, out: str = "p_value", steps: int = 600) -> DataFrame:
+    """Adds P(F(d1, d2) > f): the incomplete beta function by its continued fraction, in column expressions.
 
     The fraction is iterated (modified Lentz) inside an aggregate over the step numbers, and stands
     still once it has settled. NaN without degrees of freedom.
     """
-    d1, d2 = d1.cast("double"), d2.cast("double")
-    a0, b0 = d2 / 2, d1 / 2
-    x0 = d2 / (d2 + d1 * f)
-    swap = x0 >= (a0 + 1) / (a0 + b0 + 2)
-    at = F.struct(F.when(swap, b0).otherwise(a0).alias("a"), F.when(swap, a0).otherwise(b0).alias("b"),
-                  F.when(swap, d1 * f / (d2 + d1 * f)).otherwise(x0).alias("x"))
+    f1, f2, v = F.col("_d1"), F.col("_d2"), F.col(f"`{f}`")
+    d = df.withColumns({"_d1": d1.cast("double"), "_d2": d2.cast("double")})
+    d = d.withColumns({"_lo": f2 / (f2 + f1 * v), "_hi": f1 * v / (f2 + f1 * v)})
+    d = d.withColumn("_swap", F.col("_lo") >= (f2 / 2 + 1) / (f1 / 2 + f2 / 2 + 2))
+    swap = F.col("_swap")
+    d = d.withColumns({"_a": F.when(swap, f1 / 2).otherwise(f2 / 2), "_b": F.when(swap, f2 / 2).otherwise(f1 / 2),
+                       "_x": F.when(swap, F.col("_hi")).otherwise(F.col("_lo"))})
+    a, b, x = F.col("_a"), F.col("_b"), F.col("_x")
     tiny = 1e-300
 
-    def safe(v):
-        return F.when(F.abs(v) < tiny, F.lit(tiny)).otherwise(v)
-
-    def one(state, term):
-        d = 1 / safe(1 + term * state["d"])
-        c = safe(1 + term / state["c"])
-        return F.struct(state["a"].alias("a"), state["b"].alias("b"), state["x"].alias("x"), c.alias("c"), d.alias("d"),
-                        (state["h"] * d * c).alias("h"), (F.abs(d * c - 1) < 1e-16).alias("still"))
+    def safe(value):
+        return F.when(F.abs(value) < tiny, F.lit(tiny)).otherwise(value)
 
     def both(state, i):
         # odd steps 2m + 1 and even steps 2m of the fraction
         m = F.floor(i / 2).cast("double")
-        a, b, x = state["a"], state["b"], state["x"]
         odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
         even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
-        return F.when(state["still"], state).otherwise(one(state, F.when(i % 2 == 1, odd).otherwise(even)))
-    first = F.struct(at["a"].alias("a"), at["b"].alias("b"), at["x"].alias("x"), F.lit(1.0).alias("c"),
-                     (1 / safe(1 - (at["a"] + at["b"]) * at["x"] / (at["a"] + 1))).alias("d"),
-                     (1 / safe(1 - (at["a"] + at["b"]) * at["x"] / (at["a"] + 1))).alias("h"), F.lit(False).alias("still"))
-    a, b, x = at["a"], at["b"], at["x"]
-    front = F.exp(log_gamma(a + b) - log_gamma(a) - log_gamma(b) + a * F.log(x) + b * F.log1p(-x)) / a
-    value = F.aggregate(F.sequence(F.lit(2), F.lit(steps)), first, both, lambda s: s["h"])
-    tail = F.when(swap, 1 - front * value).otherwise(front * value)
-    return (F.when(f.isNull() | F.isnan(f) | (d1 <= 0) | (d2 <= 0), F.lit(float("nan"))).when(f == float("inf"), F.lit(0.0))
-            .when(f <= 0, F.lit(1.0)).otherwise(tail))
+        term = F.when(i % 2 == 1, odd).otherwise(even)
+        return F.when(state["still"], state).otherwise(step(1 / safe(1 + term * state["d"]), safe(1 + term / state["c"]), state["h"]))
+
+    def step(d_, c_, h):
+        return F.struct(c_.alias("c"), d_.alias("d"), (h * d_ * c_).alias("h"), (F.abs(d_ * c_ - 1) < 1e-16).alias("still"))
+    d = d.withColumn("_first", 1 / safe(1 - (a + b) * x / (a + 1)))
+    first = F.struct(F.lit(1.0).alias("c"), F.col("_first").alias("d"), F.col("_first").alias("h"), F.lit(False).alias("still"))
+    d = d.withColumns({"_value": F.aggregate(F.sequence(F.lit(2), F.lit(steps)), first, both, lambda s: s["h"]),
+                       "_gab": log_gamma(a + b), "_ga": log_gamma(a), "_gb": log_gamma(b)})
+    front = F.exp(F.col("_gab") - F.col("_ga") - F.col("_gb") + a * F.log(x) + b * F.log1p(-x)) / a
+    tail = F.when(swap, 1 - front * F.col("_value")).otherwise(front * F.col("_value"))
+    value = (F.when(v.isNull() | F.isnan(v) | (f1 <= 0) | (f2 <= 0), F.lit(float("nan"))).when(v == float("inf"), F.lit(0.0))
+             .when(v <= 0, F.lit(1.0)).otherwise(tail))
+    return d.select(*[F.col(f"`{c}`") for c in df.columns], value.alias(out))
 
 
 def f_sf(f: float, d1: float, d2: float) -> float:

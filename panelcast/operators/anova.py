@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelcast.functions.stats import f_tail
+from panelcast.functions.stats import with_f_tail
 
 
 def long_levels(df: DataFrame, params, metric: str) -> DataFrame:
@@ -56,7 +56,7 @@ def oneway_anova(df: DataFrame, params, metric: str, with_p: bool = True) -> Dat
     out = g.select("param", k.cast("int").alias("k"), n.cast("long").alias("n"),
                    fstat.alias("f_stat"))
     if with_p:
-        out = out.withColumn("p_value", f_tail(F.col("f_stat"), F.col("k") - 1, F.col("n") - F.col("k")))
+        out = with_f_tail(out, "f_stat", F.col("k") - 1, F.col("n") - F.col("k"))
     return out
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelcast.operators.ordered import hash_rank
+from panelcast.operators.ordered import hash_rank, row_numbers
 
 # Seed and hold-out share used by the hold-out benchmark.
 DEFAULT_SEED = 1337
@@ -73,6 +73,33 @@ def stratified_kfold(df: DataFrame, label: str, row_key: str, k: int = 10,
                  .drop("_rank", "_ok")
 
 
+def stratified_kfold_in_order(df: DataFrame, label: str, order: list, k: int = 10, fold_col: str = "fold",
+                              number_col: str = "row_number") -> DataFrame:
+    """O1 + F2: stratified k folds of rows as they stand in ``order``, unshuffled.
+
+    Classes are taken in the order of their first rows. Of all labels sorted by class, every k-th from i on belongs to
+    fold i: that gives each fold's number of rows of a class; a class's rows go to the folds one after another.
+    Also adds the row's number in the order. Class sizes and first rows come from one aggregate of a row per class.
+    """
+    rows = row_numbers(df, order, out=number_col)
+    ranked = row_numbers(rows, [label, number_col], by=[label], out="_rank")
+    per = rows.groupBy(label).agg(F.count(F.lit(1)).alias("_n"), F.min(number_col).alias("_first"))
+    # one row per class from here on
+    seen = Window.partitionBy().orderBy("_first").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.withColumn("_lo", F.coalesce(F.sum("_n").over(seen), F.lit(0)))
+
+    def upto(place):  # rows of fold i among the first `place` sorted labels
+        return lambda i: F.floor((place - 1 - i) / k) + 1
+    hi, lo = F.col("_lo") + F.col("_n"), F.col("_lo")
+    share = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.greatest(upto(hi)(i), F.lit(0)) - F.greatest(upto(lo)(i), F.lit(0)))
+    per = per.select(label, share.alias("_share"))
+    joined = ranked.join(F.broadcast(per), label)
+    ends = F.transform(F.sequence(F.lit(1), F.lit(k)), lambda i: F.aggregate(
+        F.slice("_share", F.lit(1), i), F.lit(0).cast("long"), lambda a, x: a + x))
+    fold = F.size(F.filter(ends, lambda e: e < F.col("_rank")))
+    return joined.withColumn(fold_col, fold.cast("int")).drop("_share", "_rank")
+
+
 def period_counts(df: DataFrame, period: str, label: str) -> DataFrame:
     """Rows and positives per period: the partial aggregate all expanding-fold stats use."""
     return df.groupBy(period).agg(F.count(F.lit(1)).alias("n"),
@@ -141,8 +168,8 @@ def leave_one_item_out_counts(df: DataFrame, item: str, label: str) -> DataFrame
     from one per-item aggregate, so no panel copy per fold.
     """
     ic = item_counts(df, item, label)
-    w = Window.partitionBy()
-    ic = ic.withColumn("_tn", F.sum("n").over(w)).withColumn("_tp", F.sum("n_pos").over(w))
+    total = ic.agg(F.sum("n").alias("_tn"), F.sum("n_pos").alias("_tp"))
+    ic = ic.crossJoin(F.broadcast(total))  # one row
     rows = F.array(
         F.struct(F.lit("test").alias("role"), F.col("n").alias("n"), F.col("n_pos").alias("n_pos")),
         F.struct(F.lit("train").alias("role"), (F.col("_tn") - F.col("n")).alias("n"),
@@ -151,10 +178,9 @@ def leave_one_item_out_counts(df: DataFrame, item: str, label: str) -> DataFrame
 
 
 def item_index(df: DataFrame, item: str) -> DataFrame:
-    """Dense 0-based index of each distinct item in key order (small: one row per item)."""
-    d = df.select(item).distinct()
-    return d.withColumn("item_index",
-                        (F.dense_rank().over(Window.orderBy(F.col(item))) - 1).cast("int"))
+    """Dense 0-based index of each distinct item in key order."""
+    d = row_numbers(df.select(item).distinct(), [item], out="item_index")
+    return d.withColumn("item_index", (F.col("item_index") - 1).cast("int"))
 
 
 def inner_logo_fold(item_idx: Column, held_idx: Column) -> Column:
@@ -170,5 +196,5 @@ def logo_fold_table(df: DataFrame, item: str, label: str) -> DataFrame:
     """F5/F6 fold table: per item its index, counts and the number of inner folds."""
     ic = item_counts(df, item, label)
     idx = item_index(df, item)
-    t = ic.join(idx, item)
-    return t.withColumn("n_inner_folds", (F.count(F.lit(1)).over(Window.partitionBy()) - 1).cast("int"))
+    total = ic.agg((F.count(F.lit(1)) - 1).cast("int").alias("n_inner_folds"))
+    return ic.join(idx, item).crossJoin(F.broadcast(total))  # one row

@@ -113,11 +113,12 @@ def _score_counts(scores: DataFrame, keys: list[str], label: str, score: str, we
 
 
 def average_precision(scores: DataFrame, keys: list[str], label: str = "y",
-                      score: str = "score", n_buckets: int = 1024, weight: str | None = None) -> DataFrame:
+                      score: str = "score", n_buckets: int | None = None, weight: str | None = None) -> DataFrame:
     """AP = sum over distinct scores (descending) of (R_k - R_{k-1}) * P_k.
 
     No interpolation; tied scores form one threshold.  Groups without a
-    positive get ap = 0.0 (n_pos = 0 tells them apart).
+    positive get ap = 0.0 (n_pos = 0 tells them apart).  ``n_buckets`` is the number of
+    range partitions of the sort (default: the session's).
     """
     out_keys = list(keys)
     scores, keys = _with_group(scores, keys)
@@ -131,7 +132,7 @@ def average_precision(scores: DataFrame, keys: list[str], label: str = "y",
 
 
 def pr_curve(scores: DataFrame, keys: list[str], label: str = "y", score: str = "score",
-             n_buckets: int = 1024) -> DataFrame:
+             n_buckets: int | None = None) -> DataFrame:
     """E5: (precision, recall, threshold) at every distinct score plus the end point (1, 0)."""
     out_keys = list(keys)
     scores, keys = _with_group(scores, keys)

@@ -3,37 +3,59 @@
 A plain ``row_number() OVER (PARTITION BY stratum ORDER BY k)`` or a running
 sum ``OVER (PARTITION BY fold ORDER BY score DESC)`` sends every row of a
 stratum / fold to a single task.  With two classes or a dozen folds that is
-a handful of tasks holding the whole table.  Both operators here split the
-order into buckets that are monotone in the sort key:
+a handful of tasks holding the whole table.  Here the rows are cut into
+partitions that follow the order instead:
 
-1. bucket totals per (group, bucket) -- a partial aggregate, bounded by
-   groups x buckets rows;
-2. offsets = running total of the bucket totals (a window over that small
-   table);
-3. the in-bucket running value -- a window partitioned by (group, bucket),
-   so each task sees about rows / buckets rows.
+* `ranged`: one range partition of the total order, kept (lazily) so that every
+  use of it sees the same partitions; `row_numbers` and `desc_running_sums` add the
+  totals of the partitions before (one row per partition and group) to what runs
+  inside a partition;
+* `hash_rank`: for orders by a digest the digest's first characters are the partition.
 
-The result equals the single-window form exactly.
+The results equal the single-window form exactly.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelcast.session import ensure_checkpoint_dir
+_B, _P, _I = "_pc_bucket", "_pc_part", "_pc_nth"
 
-_B = "_pc_bucket"
 
+def ranged(df: DataFrame, order: list, parts: int | None = None) -> DataFrame:
+    """The rows range partitioned and sorted by ``order``, with their partition and their place in it.
 
-def _bucket_offsets(df: DataFrame, groups: list[str], sums: dict[str, Column],
-                    descending: bool) -> DataFrame:
-    agg = df.groupBy(*groups, _B).agg(*[e.alias(n) for n, e in sums.items()])
-    order = F.col(_B).desc() if descending else F.col(_B).asc()
-    w = Window.partitionBy(*groups).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return agg.select(*groups, _B, *[F.coalesce(F.sum(n).over(w), F.lit(0)).alias(f"_off_{n}")
-                                     for n in sums])
+    The frame is persisted, since two reads of a range partition that is sampled anew need not agree; nothing runs
+    before the result is used. The number of partitions is that of the session's shuffles.
+    """
+    n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    rows = rows.withColumn(_P, F.spark_partition_id()).withColumn(
+        _I, F.monotonically_increasing_id() - F.shiftleft(F.col(_P).cast("long"), 33))
+    return rows.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _before(totals: DataFrame, by: list[str], sums: list[str]) -> DataFrame:
+    """Totals of the partitions before each; one row per partition (and group), so it is broadcast."""
+    w = Window.partitionBy(*by).orderBy(_P).rowsBetween(Window.unboundedPreceding, -1)
+    return F.broadcast(totals.select(*by, _P, *[F.coalesce(F.sum(s).over(w), F.lit(0)).alias(f"_off_{s}") for s in sums]))
+
+
+def row_numbers(df: DataFrame, order: list, by: list[str] | None = None, out: str = "row_number",
+                parts: int | None = None) -> DataFrame:
+    """O1: exact ``row_number() over (partition by ... order by order)``, from 1.
+
+    Without ``by`` the place in the partition and the rows of the partitions before are the number, and nothing
+    is shuffled behind the sort. Equal keys get distinct numbers in arbitrary order.
+    """
+    by = by or []
+    rows = ranged(df, order, parts)
+    offsets = _before(rows.groupBy(*by, _P).agg(F.count(F.lit(1)).alias("n")), by, ["n"])
+    nth = F.row_number().over(Window.partitionBy(*by, _P).orderBy(_I)) if by else F.col(_I) + 1
+    numbered = rows.withColumn("_pc_in", nth).join(offsets, [*by, _P])
+    return numbered.select(*[F.col(f"`{c}`") for c in df.columns], (F.col("_off_n") + F.col("_pc_in")).cast("long").alias(out))
 
 
 def hash_rank(df: DataFrame, strata: list[str], order_hex: Column | str,
@@ -62,44 +84,17 @@ def hash_rank(df: DataFrame, strata: list[str], order_hex: Column | str,
             .drop(_B, "_pc_in", "_off_n", "_pc_key"))
 
 
-def score_buckets(scores: DataFrame, score: str, n_buckets: int = 1024,
-                  rel_error: float | None = None) -> DataFrame:
-    """Add a bucket column monotone in ``score`` with about equal rows per bucket.
-
-    Split points are approximate quantiles (one pass; n_buckets numbers to
-    the driver), assigned by the JVM Bucketizer (binary search per row).
-    """
-    if n_buckets <= 1:
-        return scores.withColumn(_B, F.lit(0.0))
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    err = rel_error if rel_error is not None else 1.0 / (4 * n_buckets)
-    qs = scores.filter(F.col(score).isNotNull() & ~F.isnan(score)).approxQuantile(score, probs, err)
-    splits = [float("-inf"), *sorted(set(float(q) for q in qs)), float("inf")]
-    if len(splits) < 3:
-        splits = [float("-inf"), 0.0, float("inf")]
-    b = Bucketizer(splits=splits, inputCol=score, outputCol=_B, handleInvalid="keep")
-    return b.transform(scores)
-
-
 def desc_running_sums(df: DataFrame, groups: list[str], score: str, values: list[str],
-                      n_buckets: int = 1024) -> DataFrame:
+                      parts: int | None = None) -> DataFrame:
     """Per distinct (groups, score): running sums of ``values`` over score descending.
 
     ``df`` must already hold one row per (groups, score) (aggregate first).
-    Adds ``cum_<v>`` = sum of v over rows of the group with score >= this score.
-
-    The aggregated input is read twice (quantile splits, then the sums), so it
-    is written once with a reliable checkpoint: the raw rows behind it are
-    scanned once and a lost executor does not replay the upstream plan.
+    Adds ``cum_<v>`` = sum of v over rows of the group with score >= this score. One sort by (groups, score)
+    cuts the rows evenly, however they spread over groups.
     """
-    if n_buckets > 1:
-        ensure_checkpoint_dir(df.sparkSession)
-        df = df.checkpoint(eager=True)
-    d = score_buckets(df, score, n_buckets)
-    offs = _bucket_offsets(d, groups, {v: F.sum(v) for v in values}, descending=True)
-    w = (Window.partitionBy(*groups, _B).orderBy(F.col(score).desc())
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    d = d.select("*", *[F.sum(v).over(w).alias(f"_in_{v}") for v in values])
-    d = d.join(offs, [*groups, _B])
+    rows = ranged(df, [*groups, F.col(score).desc()], parts)
+    offsets = _before(rows.groupBy(*groups, _P).agg(*[F.sum(v).alias(v) for v in values]), groups, values)
+    w = Window.partitionBy(*groups, _P).orderBy(_I).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    d = rows.select("*", *[F.sum(v).over(w).alias(f"_in_{v}") for v in values]).join(offsets, [*groups, _P])
     return d.select(*[c for c in df.columns],
                     *[(F.col(f"_off_{v}") + F.col(f"_in_{v}")).alias(f"cum_{v}") for v in values])

@@ -93,6 +93,14 @@ def kfold_counts(spark, sf_dir):
     return k.groupBy("fold", "y").agg(F.count(F.lit(1)).alias("n"))
 
 
+def kfold_row_order(spark, sf_dir):
+    """O1 + F2: consecutive stratified folds of the rows sorted by item, unit, period."""
+    d = clean(spark, sf_dir).select("item", "unit", "period", "row_key", "y")
+    k = FO.stratified_kfold_in_order(d, "y", ["item", "unit", "period", "row_key"], k=10)
+    return k.groupBy("fold", "y").agg(F.count(F.lit(1)).alias("n"), F.min("row_number").alias("first_row"),
+                                      F.max("row_number").alias("last_row"))
+
+
 def _folds_expanding(h):
     def q(spark, sf_dir):
         c = clean(spark, sf_dir)
@@ -203,6 +211,7 @@ QUERIES = {
     "holdout_counts": holdout_counts,
     "holdout_rows": holdout_rows,
     "kfold_counts": kfold_counts,
+    "kfold_row_order": kfold_row_order,
     "folds_expanding_h1": _folds_expanding(1),
     "folds_expanding_h5": _folds_expanding(5),
     "folds_expanding_h10": _folds_expanding(10),

@@ -155,6 +155,16 @@ FROM r JOIN k ON r.y = k.y""",
 r AS {_rank_sql("clean")}
 SELECT CAST((rk - 1) % 10 AS INT) AS fold, y, count(*) AS n FROM r GROUP BY ALL""",
 
+    "kfold_row_order": f"""{BASE},
+o AS (SELECT y, row_number() OVER (ORDER BY item, unit, period, row_key) AS row_number FROM clean),
+cl AS (SELECT y, min(row_number) AS first, count(*) AS n FROM o GROUP BY y),
+srt AS (SELECT y, row_number() OVER (ORDER BY first, row_number) - 1 AS pos FROM o JOIN cl USING (y)),
+al AS (SELECT y, CAST(pos % 10 AS INT) AS fold, count(*) AS n FROM srt GROUP BY ALL),
+en AS (SELECT y, fold, sum(n) OVER (PARTITION BY y ORDER BY fold) AS hi, n FROM al),
+rk AS (SELECT y, row_number, row_number() OVER (PARTITION BY y ORDER BY row_number) AS r FROM o)
+SELECT fold, rk.y, count(*) AS n, min(row_number) AS first_row, max(row_number) AS last_row
+FROM rk JOIN en ON rk.y = en.y AND r <= hi AND r > hi - en.n GROUP BY ALL""",
+
     "folds_expanding_h1": _expanding_counts(1),
     "folds_expanding_h5": _expanding_counts(5),
     "folds_expanding_h10": _expanding_counts(10),

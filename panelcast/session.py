@@ -7,7 +7,8 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-SPREAD_PARTITIONS = 16
+# Partitions of a spread frame: at least so many, and more for more than so many rows in each.
+SPREAD_PARTITIONS, SPREAD_ROWS = 16, 250_000
 
 
 def build_session(master: str | None = None, app: str = "panelcast",
@@ -45,7 +46,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return d
     d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
-        if not sc.master.startswith("local"):
+        if not (sc.master == "local" or sc.master.startswith("local[")):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS/S3/...) on a cluster")
         # local runs and tests only: a private scratch folder
         d = tempfile.mkdtemp(prefix="panelcast-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
@@ -62,15 +63,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
     """Persist a frame that an iterative job (optimiser, search) will re-read.
 
-    Rows go to a declared number of partitions by a hash of their values and are sorted in
-    them, so that what is seeded per partition (bagging) does not depend on the number of
-    cores or on the input's files.  The number is the parameter, or the setting
-    panelcast.spread.partitions, or SPREAD_PARTITIONS; set it by the size of the panel.
+    Rows go to partitions by a hash of their values and are sorted in them, so that what is
+    seeded per partition (bagging) does not depend on the number of cores or on the input's
+    files.  The number of partitions is the parameter, or the setting
+    panelcast.spread.partitions, or follows from the number of rows (one more, column-pruned, pass).
     """
     from pyspark import StorageLevel
     from pyspark.sql import functions as F
     from pyspark.sql.types import UserDefinedType
-    n = int(partitions or df.sparkSession.conf.get("panelcast.spread.partitions", str(SPREAD_PARTITIONS)))
+    n = int(partitions or df.sparkSession.conf.get("panelcast.spread.partitions", "0"))
+    if not n:
+        n = max(SPREAD_PARTITIONS, -(-df.count() // SPREAD_ROWS))
     plain = [f.name for f in df.schema.fields if not isinstance(f.dataType, UserDefinedType)]
     key = F.xxhash64(*[F.col(f"`{c}`") for c in plain])
     return df.repartition(n, key).sortWithinPartitions(key).persist(StorageLevel.MEMORY_AND_DISK)

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from panelcast.operators import folds as FO
-from panelcast.operators.ordered import hash_rank
+from panelcast.operators.ordered import desc_running_sums, hash_rank, row_numbers
 
 
 def _panel(spark, years, per_year=6):
@@ -68,3 +68,39 @@ def test_leave_one_item_out_and_inner_folds(spark):
     t = idx.withColumn("inner", FO.inner_logo_fold(F.col("item_index"), F.lit(1)))
     got = {r.item: r.inner for r in t.collect()}
     assert got["a"] == 0 and got["c"] == 1  # 'b' (index 1) held out
+
+
+def test_row_numbers_equal_one_window(spark):
+    df = spark.createDataFrame([(k % 3, (k * 37) % 1000, k) for k in range(1000)], "g int, v int, k int").repartition(6)
+    plan = row_numbers(df, ["v", "k"], parts=5)
+    want = {r.k: r.rn for r in df.selectExpr("k", "row_number() OVER (ORDER BY v, k) AS rn").collect()}
+    assert {r.k: r.row_number for r in plan.collect()} == want
+    want = {r.k: r.rn for r in df.selectExpr("k", "row_number() OVER (PARTITION BY g ORDER BY v DESC, k) AS rn").collect()}
+    got = row_numbers(df, ["g", F.col("v").desc(), "k"], by=["g"], out="rn", parts=7)
+    assert {r.k: r.rn for r in got.collect()} == want
+    assert row_numbers(df.limit(0), ["v"]).collect() == []
+
+
+def test_running_sums_equal_one_window(spark):
+    df = spark.createDataFrame([(k % 2 if k % 50 else 2, float(k * 7 % 401), k, 1) for k in range(400)], "g int, s double, a int, b int")
+    df = df.groupBy("g", "s").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    want = {(r.g, r.s): (r.x, r.y) for r in df.selectExpr(
+        "g", "s", "sum(a) OVER (PARTITION BY g ORDER BY s DESC) AS x", "sum(b) OVER (PARTITION BY g ORDER BY s DESC) AS y").collect()}
+    for parts in (1, 6, 40):
+        got = desc_running_sums(df, ["g"], "s", ["a", "b"], parts)
+        assert {(r.g, r.s): (r.cum_a, r.cum_b) for r in got.collect()} == want
+
+
+def test_folds_of_rows_in_order(spark):
+    """Labels sorted by class in the order of first rows, dealt round; each class's rows consecutively."""
+    labels = [1, 1, 0, 1, 0, 0, 0, 1, 0, 0, 0, 0, 1, 0, 0, 1, 0, 0, 0, 0, 1, 0, 0]
+    df = spark.createDataFrame(list(enumerate(labels)), "k int, y int").repartition(5)
+    k = 4
+    order = sorted(range(len(labels)), key=lambda i: (labels[i] != labels[0], i))
+    deal = {c: [sum(labels[order[p]] == c for p in range(f, len(labels), k)) for f in range(k)] for c in (0, 1)}
+    want = {}
+    for c in (0, 1):
+        folds = [f for f in range(k) for _ in range(deal[c][f])]
+        want |= dict(zip([i for i, y in enumerate(labels) if y == c], folds, strict=True))
+    got = FO.stratified_kfold_in_order(df, "y", ["k"], k)
+    assert {r.k: r.fold for r in got.collect()} == want
