@@ -53,16 +53,6 @@ def clean_panel(df: DataFrame, spec: PanelSpec, sentinel: tuple[str, object] | N
     return drop_any_missing(out, cols)
 
 
-def to_int(col: str) -> Column:
-    """P5."""
-    return F.col(col).cast("int")
-
-
-def to_double(col: str) -> Column:
-    """P6."""
-    return F.col(col).cast("double")
-
-
 def period_bounds(df: DataFrame, period: str) -> DataFrame:
     """A1 + P16: one-row (min, max, mid) of the period; mid = min + (max-min)//2."""
     b = df.agg(F.min(period).alias("min_period"), F.max(period).alias("max_period"))

@@ -32,13 +32,14 @@ def dummy_name(prefix: str, level) -> str:
 
 
 def one_hot(df: DataFrame, col: str, lvls=None, drop_first: bool = True,
-            prefix: str | None = None, keep_source: bool = False) -> tuple[DataFrame, list[str]]:
+            prefix: str | None = None, keep_source: bool = False,
+            max_levels: int = MAX_LEVELS) -> tuple[DataFrame, list[str]]:
     """``get_dummies(columns=[col], drop_first=...)`` as 0/1 int columns.
 
     The first (smallest) level is the baseline when ``drop_first``.
     Returns the frame and the new column names in level order.
     """
-    lvls = list(lvls) if lvls is not None else levels(df, col)
+    lvls = list(lvls) if lvls is not None else levels(df, col, max_levels)
     prefix = prefix or col
     kept = lvls[1:] if drop_first else lvls
     names = [dummy_name(prefix, v) for v in kept]
@@ -49,34 +50,6 @@ def one_hot(df: DataFrame, col: str, lvls=None, drop_first: bool = True,
     return out, names
 
 
-def aligned_one_hot(splits: dict[str, DataFrame], col: str, drop_first: bool = True,
-                    per_split_baseline: bool = False, prefix: str | None = None
-                    ) -> tuple[dict[str, DataFrame], list[str]]:
-    """Encode several splits onto one column set (union of levels, absent = 0).
-
-    Default: one shared baseline (the smallest level over all splits).
-    ``per_split_baseline=True`` reproduces the reference's quirk where each
-    split drops its own first level before the column union.
-    """
-    prefix = prefix or col
-    per = {k: levels(d, col) for k, d in splits.items()}
-    union = sorted(set().union(*per.values()))
-    if per_split_baseline:
-        kept = {k: (lv[1:] if drop_first else lv) for k, lv in per.items()}
-        names = sorted({dummy_name(prefix, v) for lv in kept.values() for v in lv})
-    else:
-        shared = union[1:] if drop_first else union
-        kept = {k: [v for v in lv if v in set(shared)] for k, lv in per.items()}
-        names = [dummy_name(prefix, v) for v in shared]
-    out = {}
-    for k, d in splits.items():
-        by_name = {dummy_name(prefix, v): v for v in kept[k]}
-        cols = [((F.col(col) == F.lit(by_name[n])).cast("int") if n in by_name
-                 else F.lit(0)).alias(n) for n in names]
-        out[k] = d.select("*", *cols).drop(col)
-    return out, names
-
-
 def fold_dummies(df: DataFrame, col: str, period: str, folds: DataFrame, drop_first: bool = True,
                  prefix: str | None = None) -> DataFrame:
     """P14/U2 for all expanding folds at once: (horizon, train_end, split, level, dummy, baseline, ones).

@@ -455,6 +455,22 @@ def grid_logit_free(spark, sf_dir):
     return ap.join(F.broadcast(each), "trial").select("scheme", "intercept", "fold", rnd("ap").alias("ap"), "n", "n_pos")
 
 
+def item_out_nested(spark, sf_dir):
+    """for every held-out item and every other one, the AP on the other of a model fitted without both."""
+    from panelcast.operators import batch_fit as BF
+    from panelcast.operators import search as SE
+    d, names = _kind_panel(spark, sf_dir)
+    items = [r["item"] for r in FO.item_index(d, "item").orderBy("item_index").collect()]
+    pairs = [(a, b) for a in items for b in items if a != b]
+    every = frozenset(map(str, items))
+    rows = BF.kept(BF.cells(d, names, "y", "item", group=True))
+    spec = KIND_MODELS["logit"]()
+    ap = SE.batch_ap(rows, names, [(spec, every - {str(a), str(b)}, frozenset({str(b)}), {}) for a, b in pairs], SCORE_DIGITS)
+    rows.unpersist()
+    each = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "problem int, item string, inner_item string")
+    return ap.join(F.broadcast(each), "problem").select("item", "inner_item", rnd("ap").alias("ap"), "n", "n_pos")
+
+
 def boost_stumps(spark, sf_dir):
     """One boosted stump on the kind dummies for each setting of the regularisation, grown together."""
     from panelcast.operators import batch_fit as BF
@@ -496,6 +512,7 @@ def param_ftest(spark, sf_dir):
 QUERIES.update({
     "grid_logit": grid_logit,
     "grid_logit_free": grid_logit_free,
+    "item_out_nested": item_out_nested,
     "boost_stumps": boost_stumps,
     "forecast_logit": _forecast_kind("logit"),
     "forecast_rf": _forecast_kind("tree"),

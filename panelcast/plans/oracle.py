@@ -526,3 +526,14 @@ FROM v"""
 
 
 SQL["boost_stumps"] = _stump_sql(BOOST_SETTINGS)
+
+SQL["item_out_nested"] = f"""{BASE},
+ki AS (SELECT item, kind, count(*) AS n, sum(y) AS s FROM clean GROUP BY ALL),
+ka AS (SELECT kind, sum(n) AS n, sum(s) AS s FROM ki GROUP BY kind),
+km AS (SELECT o.item, i.item AS inner_item, ka.kind,
+              round((ka.s - coalesce(ko.s, 0) - coalesce(kk.s, 0)) / (ka.n - coalesce(ko.n, 0) - coalesce(kk.n, 0)), 6) AS score
+       FROM (SELECT DISTINCT item FROM ki) o JOIN (SELECT DISTINCT item FROM ki) i ON o.item <> i.item CROSS JOIN ka
+            LEFT JOIN ki ko ON ko.item = o.item AND ko.kind = ka.kind LEFT JOIN ki kk ON kk.item = i.item AND kk.kind = ka.kind),
+t AS (SELECT km.item, km.inner_item, c.y, km.score FROM clean c JOIN km ON km.inner_item = c.item AND km.kind = c.kind),
+{_ap_sql("t", ["item", "inner_item"])}
+SELECT item, inner_item, {R("ap")} AS ap, n, n_pos FROM ap"""
