@@ -32,11 +32,8 @@ from pyspark.sql import functions as F
 
 # Problems that meet in one group, and that one run of passes holds at most.
 BLOCK, SLAB = 64, 4096
-# Numbers of one matrix product inside a task.
-CHUNK = 1 << 20
-
-_erfc = np.frompyfunc(math.erfc, 1, 1)
-
+# Numbers of one matrix product inside a task; rows times problems of a task, about.
+CHUNK, SHARE = 1 << 20, 500_000
 
 @dataclass(frozen=True)
 class Problem:
@@ -99,7 +96,8 @@ def cells(df: DataFrame, features: list[str], label: str, key: str | None = None
 def log_normal_tail(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(-log of the normal distribution function at t, its density over it)."""
     far = t < -30
-    tail = 0.5 * _erfc(-np.where(far, -30.0, t) / math.sqrt(2)).astype(float)
+    inner = -np.where(far, -30.0, t) / math.sqrt(2)
+    tail = 0.5 * np.fromiter(map(math.erfc, inner.ravel().tolist()), float, inner.size).reshape(inner.shape)
     density = np.exp(-0.5 * t * t) / math.sqrt(2 * math.pi)
     z = np.where(far, t, -30.0)
     ratio = np.where(far, -z * (1 + 1 / (z * z) - 2 / z ** 4), density / np.maximum(tail, 1e-300))
@@ -258,9 +256,14 @@ def solve(rows: DataFrame, features: list[str], problems: list[Problem], link: s
     """Fit all problems on `rows`, a table of `cells`; persist it first if it is costly to read again."""
     spark = rows.sparkSession
     width, p = len(features), len(features) + 1
-    counts = {(r["_key"], int(r["_c"])): float(r["n"]) for r in
-              rows.groupBy("_key", (F.col("_y") > 0.5).cast("int").alias("_c")).agg(F.sum("_w").alias("n")).collect()}
+    found = rows.groupBy("_key", (F.col("_y") > 0.5).cast("int").alias("_c")).agg(
+        F.sum("_w").alias("n"), F.count(F.lit(1)).alias("rows")).collect()
+    counts = {(r["_key"], int(r["_c"])): float(r["n"]) for r in found}
     keys = sorted({k for k, _ in counts})
+    given = rows
+    rows = dealt(rows, sum(r["rows"] for r in found), min(len(problems), SLAB))
+    if rows is not given:
+        rows = kept(rows)
     beta, residual, converged, passes, last = [], [], [], 0, None
     for lo in range(0, len(problems), SLAB):
         part = problems[lo:lo + SLAB]
@@ -312,6 +315,8 @@ def solve(rows: DataFrame, features: list[str], problems: list[Problem], link: s
         residual.append(np.where(np.isfinite(state["kkt_best"]), state["kkt_best"], np.nan))
         converged.append(state["kkt_best"] <= tol)
         last = curv if last is None else last
+    if rows is not given:
+        rows.unpersist()
     square = None
     if curvature and last is not None and len(last):
         square = np.zeros((p, p))
@@ -353,3 +358,12 @@ def scores(rows: DataFrame, fits: Fits, digits: int | None = None) -> DataFrame:
 
 def kept(rows: DataFrame) -> DataFrame:
     return rows.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def dealt(rows: DataFrame, count: int, problems: int) -> DataFrame:
+    """The rows in as many partitions as the work of a pass asks for: rows times problems, SHARE in each.
+
+    Small tables come in one partition, however many problems read them.
+    """
+    wanted = min(-(-count // 1000), -(-count * problems // SHARE))
+    return rows.repartition(wanted) if wanted > rows.rdd.getNumPartitions() else rows

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from panelcast.operators import clean as C
 from panelcast.operators.encode import one_hot
 from panelcast.plans import workflows as W
-from panelcast.plans.studies import Study
+from panelcast.plans.studies import GBT_SPACE, PRUNED_SPACES, RF_SPACE, Study
 from panelcast.sources.readers import load_study
 
 WORKFLOWS = ("inference", "holdout", "forecast", "item_out", "significance", "cascades")
@@ -53,6 +53,10 @@ def run_study(spark: SparkSession, study: Study, workflow: str, base_dir: str, s
         return W.inference_table(panel, study.label, covariates, one_hot=study.dummies(workflow),
                                  cluster=study.cluster, drop_prefixes=keep, **options)
     d, features = design(panel, study, workflow)
+    if workflow in ("forecast", "item_out"):
+        options = {"spaces": PRUNED_SPACES[study.name]} | options
+    if workflow == "holdout":
+        options = {"spaces": {"rf": RF_SPACE, "gbt": GBT_SPACE}} | options
     if workflow == "forecast":
         return W.forecast(d, features, period=study.period, label=study.label, **options)
     if workflow == "item_out":

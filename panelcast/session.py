@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import pickle
 import tempfile
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 # Partitions of a spread frame: at least so many, and more for more than so many rows in each.
@@ -60,6 +62,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def ship(spark: SparkSession, value):
+    """Broadcast of a value that may hold objects of this package; `received` gives it back inside a task."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def received(shipped):
+    return pickle.loads(shipped.value)
+
+
 def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
     """Persist a frame that an iterative job (optimiser, search) will re-read.
 
