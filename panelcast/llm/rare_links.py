@@ -30,6 +30,8 @@ from panelcast.session import cut_lineage
 
 #: Holders from which an element is common at the first level; later levels take four times as many.
 OFTEN = 64
+#: Elements of the sets that one partition of the small tables here holds, about.
+ELEMENTS = 1_000_000
 #: An element that this share of all places holds is looked up by broadcast: so many at most.
 HEAVY = 2048
 
@@ -39,35 +41,39 @@ def _enough(overlap: Column, sizes: Column) -> Column:
     return 7 * overlap >= 3 * sizes
 
 
-def _marked(classes: DataFrame, often: int) -> DataFrame:
+def _marked(classes: DataFrame, often: int, parts: int) -> DataFrame:
     """The classes with _rare (sorted (holders, element) structs) and _core (sorted common elements)."""
     places = classes.select("_key", "_low", "_high", F.explode("_t").alias("_e"))
     held = places.groupBy("_e").agg(F.count(F.lit(1)).alias("_df"), F.min("_low").alias("_a"), F.max("_high").alias("_b"))
-    held = cut_lineage(held.filter("_df > 1 AND _a <> _b").select("_e", "_df"))
+    held = cut_lineage(held.filter("_df > 1 AND _a <> _b").select("_e", "_df").coalesce(parts))
     total = held.agg(F.coalesce(F.sum("_df"), F.lit(0))).first()[0]
     hot = F.broadcast(held.filter(F.col("_df") * HEAVY > total))
     rest = held.filter(F.col("_df") * HEAVY <= total)
     places = places.select("_key", "_e")
-    known = places.join(hot, "_e").unionByName(places.join(hot.select("_e"), "_e", "left_anti").join(rest, "_e"))
+    others = places.join(hot.select("_e"), "_e", "left_anti").join(rest, "_e").coalesce(parts)
+    known = places.join(hot, "_e").unionByName(others)
     per = known.groupBy("_key").agg(
         F.array_sort(F.collect_list(F.when(F.col("_df") <= often, F.struct("_df", "_e")))).alias("_rare"),
         F.array_sort(F.collect_list(F.when(F.col("_df") > often, F.col("_e")))).alias("_core"))
-    return classes.join(per, "_key")
+    return classes.join(per.coalesce(parts), "_key").coalesce(parts)
 
 
-def _level(items: DataFrame, often: int) -> tuple[DataFrame, DataFrame]:
-    """(links (a, b), items of the next level) of items (_id, _n, _comp, _t)."""
+def _level(items: DataFrame, often: int, parts: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(links (a, b), items of the next level) of items (_id, _n, _comp, _t).
+
+    A level has many small stages: all of them run in as many partitions as the sets need.
+    """
     keyed = items.withColumn("_key", F.struct(F.xxhash64("_t").alias("h"), F.xxhash64(F.lit(1), "_t").alias("g")))
     classes = cut_lineage(keyed.groupBy("_key").agg(
         F.min(F.struct("_n", "_id")).alias("_lead"), F.min("_comp").alias("_low"), F.max("_comp").alias("_high"),
-        F.first("_t").alias("_t")))
-    members = keyed.drop("_t").join(classes.select("_key", "_lead", F.size("_t").alias("_size")), "_key")
+        F.first("_t").alias("_t")).coalesce(parts))
+    members = keyed.drop("_t").join(classes.select("_key", "_lead", F.size("_t").alias("_size")), "_key").coalesce(parts)
     members = members.filter(F.struct("_n", "_id") != F.col("_lead"))
     near = _enough(F.col("_size"), F.col("_n") + F.col("_lead._n"))
     links = members.filter(near).select(F.col("_id").alias("a"), F.col("_lead._id").alias("b"))
     followers = cut_lineage(members.filter(~near).select("_key", "_id", "_n", "_comp"))
 
-    marked = cut_lineage(_marked(classes, often))
+    marked = cut_lineage(_marked(classes, often, parts))
     size, core, rare = F.size("_t"), F.size("_core"), F.size("_rare")
     residual = size - core
     need = F.ceil(F.col("_lead._n") * 3 / 4) - core
@@ -79,28 +85,28 @@ def _level(items: DataFrame, often: int) -> tuple[DataFrame, DataFrame]:
     differ = (F.col("x._low") != F.col("y._low")) | (F.col("x._high") != F.col("y._high")) | (F.col("x._low") != F.col("x._high"))
     fit = _enough(F.least("x._s", "y._s"), F.col("x._n") + F.col("y._n"))
     pairs = (one.join(two, (F.col("x._e") == F.col("y._e")) & (F.col("x._key") < F.col("y._key")) & differ & fit)
-             .select(F.col("x._key").alias("_x"), F.col("y._key").alias("_y")).distinct())
+             .select(F.col("x._key").alias("_x"), F.col("y._key").alias("_y")).coalesce(parts).distinct().coalesce(parts))
     sets = classes.select("_key", "_lead", "_t")
     both = (pairs.join(sets.select(F.col("_key").alias("_x"), F.col("_lead").alias("_p"), F.col("_t").alias("_tx")), "_x")
-            .join(sets.select(F.col("_key").alias("_y"), F.col("_lead").alias("_q"), F.col("_t").alias("_ty")), "_y"))
+            .coalesce(parts).join(sets.select(F.col("_key").alias("_y"), F.col("_lead").alias("_q"), F.col("_t").alias("_ty")), "_y"))
     both = both.withColumn("_both", F.size(F.array_intersect("_tx", "_ty"))).drop("_tx", "_ty")
-    active = cut_lineage(both.filter(_enough(F.col("_both"), F.col("_p._n") + F.col("_q._n"))))
+    active = cut_lineage(both.filter(_enough(F.col("_both"), F.col("_p._n") + F.col("_q._n"))).coalesce(parts))
     links = links.unionByName(active.select(F.col("_p._id").alias("a"), F.col("_q._id").alias("b")))
 
     room = active.select(F.inline(F.array(
         F.struct(F.col("_x").alias("_key"), (7 * F.col("_both") - 3 * F.col("_q._n")).alias("_room"), F.col("_q._id").alias("_to")),
         F.struct(F.col("_y").alias("_key"), (7 * F.col("_both") - 3 * F.col("_p._n")).alias("_room"), F.col("_p._id").alias("_to")))))
-    best = room.groupBy("_key").agg(F.max(F.struct("_room", "_to")).alias("_best"))
+    best = room.groupBy("_key").agg(F.max(F.struct("_room", "_to")).alias("_best")).coalesce(parts)
     links = links.unionByName(followers.join(best, "_key").filter(3 * F.col("_n") <= F.col("_best._room"))
                               .select(F.col("_id").alias("a"), F.col("_best._to").alias("b")))
 
     cores = marked.filter((core > 0) & (4 * core >= 3 * F.col("_lead._n"))).select(
         "_key", "_core", "_lead")
-    leaders = keyed.drop("_t").join(cores, "_key").filter(F.struct("_n", "_id") == F.col("_lead"))
+    leaders = keyed.drop("_t").join(cores, "_key").coalesce(parts).filter(F.struct("_n", "_id") == F.col("_lead"))
     nexts = leaders.select("_id", "_n", "_comp", "_core").unionByName(
         followers.join(cores.select("_key", "_core"), "_key").select("_id", "_n", "_comp", "_core"))
     nexts = nexts.filter(4 * F.size("_core") >= 3 * F.col("_n")).select("_id", "_n", "_comp", F.col("_core").alias("_t"))
-    return links, nexts
+    return cut_lineage(links.coalesce(parts)), nexts.coalesce(parts)
 
 
 def rare_links(items: DataFrame, often: int = OFTEN) -> DataFrame:
@@ -112,10 +118,11 @@ def rare_links(items: DataFrame, often: int = OFTEN) -> DataFrame:
     links = None
     while True:
         items = cut_lineage(items)
-        ends = items.agg(F.min("_comp").alias("low"), F.max("_comp").alias("high")).first()
+        ends = items.agg(F.min("_comp").alias("low"), F.max("_comp").alias("high"), F.sum(F.size("_t")).alias("places")).first()
         if ends["low"] == ends["high"]:
             break
-        found, items = _level(items, often)
+        parts = -(-ends["places"] // ELEMENTS)
+        found, items = _level(items.coalesce(parts), often, parts)
         links = found if links is None else links.unionByName(found)
         often *= 4
     none = items.select(F.col("_id").alias("a"), F.col("_id").alias("b")).limit(0)
