@@ -69,17 +69,19 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` that stay, with all their columns; of rows that repeat an id and its text, one.
 
-    Only ids meet the texts again. Rows with a null id are told apart by nothing and stay.
+    Only ids meet the texts again, and repeats are found where they meet: the texts are shuffled once. Rows with a
+    null id are told apart by nothing; if a text stands under null ids only, all of them stay.
     """
-    kept = (exact_dedup(docs, id_col, text_col).filter("kept")
-            .select(F.col(id_col).alias("_kept_id")).distinct())
-    rows = docs.join(kept, docs[id_col].eqNullSafe(kept["_kept_id"]), "left_semi")
+    kept = cut_lineage(exact_dedup(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias("_kept_id")).distinct())
+    known = docs.filter(docs[id_col].isNotNull())
+    known = known.join(kept, known[id_col] == kept["_kept_id"], "left_semi")
     nth = "_nth"
     while nth in docs.columns:
         nth += "_"
     again = Window.partitionBy(id_col, F.xxhash64(text_col)).orderBy(F.lit(0))
-    rows = rows.withColumn(nth, F.row_number().over(again))
-    return rows.filter((F.col(nth) == 1) | F.col(id_col).isNull()).drop(nth)
+    known = known.withColumn(nth, F.row_number().over(again)).filter(F.col(nth) == 1).drop(nth)
+    none = F.broadcast(kept.filter("_kept_id IS NULL"))  # one row at most
+    return known.unionByName(docs.filter(docs[id_col].isNull()).join(none, F.lit(True), "left_semi"))
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
