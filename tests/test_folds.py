@@ -104,3 +104,38 @@ def test_folds_of_rows_in_order(spark):
         want |= dict(zip([i for i, y in enumerate(labels) if y == c], folds, strict=True))
     got = FO.stratified_kfold_in_order(df, "y", ["k"], k)
     assert {r.k: r.fold for r in got.collect()} == want
+
+
+def test_holdout_ranks_only_where_a_class_is_cut(spark):
+    import hashlib
+
+    from panelcast.operators.folds import stratified_holdout
+    rows = [(f"k{k % 900}", int(k % 7 == 0), k) for k in range(1000)] + [("z", 2, -1), (None, 0, -2)]
+    got = stratified_holdout(spark.createDataFrame(rows, "row_key string, y int, n int").repartition(6), "y", "row_key").collect()
+    assert sorted(r.n for r in got) == sorted(n for *_, n in rows)
+    sizes = {0: 858 - 686, 1: 143 - 114, 2: 1 - 1}  # 801 train rows: floors 686, 114, 0, the rest by largest remainder
+    for y in (0, 1, 2):
+        order = sorted(hashlib.md5("|".join(x for x in (k, "1337") if x is not None).encode()).hexdigest() for k, c, _ in rows if c == y)
+        test = sorted(hashlib.md5("|".join(x for x in (r.row_key, "1337") if x is not None).encode()).hexdigest()
+                      for r in got if r.y == y and r.role == "test")
+        assert abs(len(test) - sizes[y]) <= 1 and test == order[:len(test)]
+    assert sum(r.role == "test" for r in got) == 201
+
+
+def test_small_tables_are_fitted_in_one_task(spark):
+    from panelcast.operators import batch_fit as BF
+    cells = spark.range(40).repartition(30)
+    assert BF.dealt(cells, 40, 1000).rdd.getNumPartitions() == 1
+    assert BF.dealt(cells, 40_000, 1000).rdd.getNumPartitions() == 40
+
+
+def test_holdout_of_a_grouped_fit_does_not_deal_the_panel(spark, monkeypatch):
+    from panelcast.operators import models as MD
+    from panelcast.plans import workflows as W
+
+    def dealt(*_):
+        raise AssertionError("the panel is shuffled and sorted")
+    monkeypatch.setattr(W, "spread", dealt)
+    df = spark.createDataFrame([(f"k{k}", float(k % 2), int(k % 3 == 0 or k % 10 == 1)) for k in range(200)], "row_key string, a double, y int")
+    got = W.holdout_benchmark(df, ["a"], models=(MD.ModelSpec.of("logistic", penalty=None, tol=1e-10),), group_rows=True)
+    assert {r.metric: r.value for r in got.collect() if r.metric in ("tp", "fp", "fn", "tn")}.keys() == {"tp", "fp", "fn", "tn"}
