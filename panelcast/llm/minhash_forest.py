@@ -186,7 +186,7 @@ def crowded(classes: DataFrame, trees: int, reach: int) -> DataFrame:
 
 
 def _sets_of(wanted, listed: bool = False):
-    """Shingle sets of the rows whose id may be wanted, as bytes or as lists of longs."""
+    """Shingle sets of the rows whose id may be wanted, as bytes or as lists of longs, and their digests."""
     def run(batches):
         bits = wanted.value
         for part in rows_in_slices(batches):
@@ -194,11 +194,12 @@ def _sets_of(wanted, listed: bool = False):
             take = np.flatnonzero(bits[spot >> 3] >> (spot & 7).astype(np.uint8) & 1)
             texts = part.column(1).cast(pa.binary())
             sets = [shingle_set(texts[int(k)].as_py()) for k in take]
+            digests = pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary())
             if listed:
                 sets = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
             else:
                 sets = pa.array([s.tobytes() for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(take)), sets], ["_id", "_s"])
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(take)), sets, digests], ["_id", "_s", "_set"])
     return run
 
 
@@ -237,29 +238,45 @@ def _confirm(batches):
         yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], ["a", "b"])
 
 
-def sets_of(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str, listed: bool = False) -> DataFrame:
-    """(_id, _s): shingle sets of the rows with one of the ids, and of a few others."""
+def strays(rows: DataFrame, classes: DataFrame) -> DataFrame | None:
+    """(_id, _set) of the rows under a representative's id whose set stands under another id; None where there are none.
+
+    There are some only where rows repeat an id with other texts.
+    """
+    led = classes.select(F.col("_rep").alias("_id"), "_set")
+    found = cut_lineage(rows.select("_id", "_set").join(led.select("_id"), "_id", "left_semi")
+                        .join(led, ["_id", "_set"], "left_anti").distinct())
+    return found if found.take(1) else None
+
+
+def sets_of(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str, listed: bool = False,
+            without: DataFrame | None = None) -> DataFrame:
+    """(_id, _s): shingle sets of the rows with one of the ids, and of a few others, but for those of `without`."""
     bits = docs.sparkSession.sparkContext.broadcast(id_filter(ids))
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).filter("_id IS NOT NULL")
-    return rows.withColumn("_spot", _spot("_id")).mapInArrow(
-        _sets_of(bits, listed), "_id long, _s " + ("array<long>" if listed else "binary"))
+    sets = rows.withColumn("_spot", _spot("_id")).mapInArrow(
+        _sets_of(bits, listed), f"_id long, _s {'array<long>' if listed else 'binary'}, _set binary")
+    if without is not None:
+        sets = sets.join(without, ["_id", "_set"], "left_anti")
+    return sets.select("_id", "_s")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, without: DataFrame | None = None) -> DataFrame:
     """The pairs whose full shingle sets have 100 * intersection >= 75 * union."""
     ends = pairs.select(F.col("a").alias("_id")).unionByName(pairs.select(F.col("b").alias("_id")))
-    sets = sets_of(ends, docs, id_col, text_col)
+    sets = sets_of(ends, docs, id_col, text_col, without=without)
     both = (pairs.join(sets.select(F.col("_id").alias("a"), F.col("_s").alias("_x")), "a")
             .join(sets.select(F.col("_id").alias("b"), F.col("_s").alias("_y")), "b"))
     return both.select("a", "b", "_x", "_y").mapInArrow(_confirm, "a long, b long").distinct()
 
 
-def crowd_links(joined: DataFrame, docs: DataFrame, id_col: str, text_col: str, often: int) -> DataFrame:
+def crowd_links(joined: DataFrame, docs: DataFrame, id_col: str, text_col: str, often: int,
+                without: DataFrame | None = None) -> DataFrame:
     """Links between components in the crowded regions of the last round's forest."""
     trees, reach = ROUNDS[-1]
     ids = cut_lineage(crowded(joined, trees, reach))
     comps = joined.groupBy(F.col("_rep").alias("_id")).agg(F.min("_comp").alias("_comp")).join(ids, "_id", "left_semi")
-    items = sets_of(ids, docs, id_col, text_col, listed=True).join(comps, "_id")
+    items = sets_of(ids, docs, id_col, text_col, listed=True, without=without).join(comps, "_id")
     items = items.filter(F.size("_s") > 0)
     return rare_links(items.select("_id", F.size("_s").cast("long").alias("_n"), "_comp", F.col("_s").alias("_t")), often)
 
@@ -291,11 +308,11 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if found is not None:
             links = links.unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b")))
         return cut_lineage(components(links))
-    found = None
+    found, without = None, strays(full, classes)
     for trees, reach in ROUNDS:
         pairs = cut_lineage(candidates(with_components(found), trees, reach))
-        found = joined_by(confirmed(pairs, docs, id_col, text_col), found)
-    found = joined_by(crowd_links(cut_lineage(with_components(found)), docs, id_col, text_col, often), found)
+        found = joined_by(confirmed(pairs, docs, id_col, text_col, without), found)
+    found = joined_by(crowd_links(cut_lineage(with_components(found)), docs, id_col, text_col, often, without), found)
 
     verdict = (classes.select("_set", "_size", "_rep").join(found, F.col("_rep") == F.col("node"), "left")
                .select("_set", "_size", F.coalesce("component", "_rep").alias("component_id")))
